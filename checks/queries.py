@@ -650,8 +650,8 @@ def _(spark, sf_dir):
     sql.trend_query(
         f"""SELECT metric,
   CASE WHEN money THEN format('${{:,.2f}}', e) ELSE format('{{:,.0f}}', e) END AS value_text,
-  concat(CASE WHEN money THEN format('${{:+,.2f}}', e - b) ELSE format('{{:+,.0f}}', e - b) END,
-    format(' ({{:+.1f}}%)', CASE WHEN b = 0 THEN 0 ELSE (e - b) / b * 100 END)) AS delta_text
+  concat(CASE WHEN money THEN concat('$', CASE WHEN e >= b THEN '+' ELSE '' END, format('{{:,.2f}}', e - b)) ELSE concat(CASE WHEN e >= b THEN '+' ELSE '' END, format('{{:,.0f}}', e - b)) END,
+    ' (', CASE WHEN e >= b THEN '+' ELSE '' END, format('{{:.1f}}%)', CASE WHEN b = 0 THEN 0 ELSE (e - b) / b * 100 END)) AS delta_text
 FROM (SELECT *, metric IN ('outstanding_balance', 'dollars_recovered') AS money FROM {_DELTA_SQL})"""
     ),
 )
