@@ -20,7 +20,7 @@ from arledger.functions.cells import (
     number_or_zero,
     parse_date,
 )
-from arledger.operators.columns import LINEAGE
+from arledger.operators.columns import LINEAGE, NORMALIZED
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -57,14 +57,16 @@ def _clean_cell(
     text = isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
     if is_money and is_date:
         # A date is read first and is then no number, which counts as zero.
-        return F.lit(0.0)
-    if is_money:
-        return money_or_zero(cell) if text else number_or_zero(cell)
-    if is_date:
-        return parse_date(cell) if text else cell.cast("timestamp")
-    if is_bucket:
-        return blank_to_null(normalize_bucket(cell))
-    return blank_to_null(cell) if text else cell
+        clean = F.lit(0.0)
+    elif is_money:
+        clean = money_or_zero(cell) if text else number_or_zero(cell)
+    elif is_date:
+        clean = parse_date(cell) if text else cell.cast("timestamp")
+    elif is_bucket:
+        return blank_to_null(normalize_bucket(cell)).alias(name, metadata=NORMALIZED)
+    else:
+        clean = blank_to_null(cell) if text else cell
+    return clean.alias(name)
 
 
 def clean_claims(
@@ -90,7 +92,7 @@ def clean_claims(
     cells = [
         F.col(field.name)
         if field.name in LINEAGE
-        else _clean_cell(field.name, field.dataType, dates, money, buckets).alias(field.name)
+        else _clean_cell(field.name, field.dataType, dates, money, buckets)
         for field in rows.schema.fields
     ]
     return rows.select(*cells)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arledger.fixed_values import ROLE_CANDIDATES
+from arledger.functions.cells import normalize_bucket
 
 SHEET_KEYS = ("sheet_name", "sheet_pos")
 # Columns that say where a row came from; they are no data of the row.
@@ -37,3 +38,15 @@ def role_column(df: DataFrame, role: str) -> Column:
 def sheet_keys(df: DataFrame) -> list[str]:
     """The sheet-identifying columns this frame carries."""
     return [name for name in SHEET_KEYS if name in df.columns]
+
+
+# Schema note that cleaning leaves on columns whose labels it has made canonical.
+NORMALIZED = {"arledger.normalized": True}
+
+
+def canonical_bucket(df: DataFrame, name: str) -> Column:
+    """Canonical bucket of a label column. Cleaned columns are marked in the schema and are
+    taken as they are: doing it again changes nothing and is the costliest expression."""
+    if df.schema[name].metadata.get("arledger.normalized"):
+        return F.col(name)
+    return normalize_bucket(F.col(name))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arledger.fixed_values import MISSING_STATUS, MISSING_WORKER, TREND_DATES
-from arledger.functions.cells import normalize_bucket, parse_date
-from arledger.operators.columns import resolve
+from arledger.functions.cells import parse_date
+from arledger.operators.columns import canonical_bucket, resolve
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
     bucket, worker, status = (resolve(df, r) for r in ("aging_bucket", "worked_by", "status"))
     day = filter_day(df)
     if bucket and spec.aging_buckets:
-        df = df.filter(normalize_bucket(F.col(bucket)).isin(*spec.aging_buckets))
+        df = df.filter(canonical_bucket(df, bucket).isin(*spec.aging_buckets))
     if worker and spec.workers:
         df = df.filter(worker_label(F.col(worker)).isin(*spec.workers))
     if status and spec.statuses:
@@ -83,7 +83,7 @@ def filter_options(df: DataFrame) -> DataFrame:
     """
     parts = []
     if bucket := resolve(df, "aging_bucket"):
-        parts.append(("aging_bucket", normalize_bucket(F.col(bucket))))
+        parts.append(("aging_bucket", canonical_bucket(df, bucket)))
     if worker := resolve(df, "worked_by"):
         parts.append(("employee", worker_label(F.col(worker))))
     if status := resolve(df, "status"):

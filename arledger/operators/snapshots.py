@@ -33,13 +33,25 @@ def dated(df: DataFrame) -> DataFrame:
     return df.filter(parse_snapshot_date(F.col("sheet_name")).isNotNull())
 
 
+def date_grouped(df: DataFrame, count: str) -> DataFrame:
+    """Add ``snapshot_date`` to rows grouped by sheet and keep dated ones.
+
+    Tying the date to a count keeps the optimizer from moving the test below the grouping,
+    where names would be parsed once per row instead of once per sheet.
+    """
+    date = F.when(F.col(count) > 0, parse_snapshot_date(F.col("sheet_name")))
+    return df.withColumn("snapshot_date", date).filter(F.col("snapshot_date").isNotNull())
+
+
 def sheet_list(df: DataFrame) -> DataFrame:
     """One row per dated sheet that has rows: sheet_name, sheet_pos, snapshot_date.
 
-    Names are parsed after the distinct, once per sheet and not once per row. Take the
-    list from unfiltered rows: a sheet emptied by a filter still counts as a snapshot.
+    Take the list from unfiltered rows: a sheet emptied by a filter is still a snapshot.
     """
-    return dated(tag_snapshots(df.select(*sheet_keys(df)).distinct())).drop("snapshot_label")
+    if "snapshot_date" in df.columns:
+        return dated(df).select(*sheet_keys(df), "snapshot_date").distinct()
+    counted = df.groupBy(*sheet_keys(df)).agg(F.count(F.lit(1)).alias("n_rows"))
+    return date_grouped(counted, "n_rows").drop("n_rows")
 
 
 def ordered_sheets(sheets: DataFrame) -> DataFrame:

@@ -16,7 +16,13 @@ from arledger.operators.columns import SHEET_KEYS
 from arledger.operators.filters import target_dates, week_labels
 from arledger.operators.measures import MEASURES, condense, need, total
 from arledger.operators.metrics import aging_table, bucket_rank
-from arledger.operators.snapshots import dated, latest_sheet, ordered_sheets, tag_snapshots
+from arledger.operators.snapshots import (
+    date_grouped,
+    dated,
+    latest_sheet,
+    ordered_sheets,
+    tag_snapshots,
+)
 
 SUMMARY_COLUMNS = (
     "snapshot_date",
@@ -40,14 +46,17 @@ class Trend(NamedTuple):
 
 
 def trend_cube(df: DataFrame) -> DataFrame:
-    """Measures per (sheet, bucket, worker) of dated claims; both trend tables are sums of
+    """Measures per (dated sheet, bucket, worker) of claims; both trend tables are sums of
     it, so they share one pass when it is written or cached.
 
     A trend drops equal rows by cleaned value, where ``$100`` and ``100`` are the same, so
     its counts can be below those of the same snapshot elsewhere.
     """
-    rows = drop_exact_duplicates(dated(df))
-    return condense(need(rows, "balance", "worked_by", "aging_bucket"))
+    if "snapshot_date" in df.columns:
+        df = dated(df)
+    rows = drop_exact_duplicates(df)
+    cube = condense(need(rows, "balance", "worked_by", "aging_bucket"))
+    return date_grouped(cube, "n_claims")
 
 
 def _cube(df: DataFrame) -> DataFrame:
@@ -57,10 +66,12 @@ def _cube(df: DataFrame) -> DataFrame:
 def snapshot_summary(df: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """One row per dated sheet, oldest first. With ``sheets`` a sheet that a filter left
     without rows still shows, with zeros. ``df`` is claims or a ``trend_cube``."""
-    sums = _cube(df).groupBy(*SHEET_KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+    keys = (*SHEET_KEYS, "snapshot_date")
+    sums = _cube(df).groupBy(*keys).agg(*(F.sum(m).alias(m) for m in MEASURES))
     if sheets is not None:
-        names = sheets.select(*SHEET_KEYS)
-        sums = names.join(sums, list(SHEET_KEYS), "left").na.fill(0, list(MEASURES))
+        counts = sums.drop("snapshot_date")
+        sums = sheets.select(*keys).join(counts, list(SHEET_KEYS), "left")
+        sums = sums.na.fill(0, list(MEASURES))
     table = tag_snapshots(sums).withColumnsRenamed(
         {
             "n_claims": "total_claims",
@@ -75,7 +86,7 @@ def snapshot_summary(df: DataFrame, sheets: DataFrame | None = None) -> DataFram
 
 def aging_trend(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """Aging summary per dated sheet, newest first; shares are within the sheet."""
-    table = tag_snapshots(aging_table(_cube(df), SHEET_KEYS))
+    table = tag_snapshots(aging_table(_cube(df), (*SHEET_KEYS, "snapshot_date")))
     rank = bucket_rank(F.col("aging_bucket"))
     ordered = table.orderBy(
         F.desc("snapshot_date"),
