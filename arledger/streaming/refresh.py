@@ -64,15 +64,13 @@ def stream_snapshots(
     # Decoded twice: once for the URI form, once for the escapes in the name itself.
     sheet = F.url_decode(F.replace(F.url_decode(folder), F.lit("+"), F.lit("%2B")))
     if fmt == "parquet":
-        start, index = F.lit(0).cast("bigint"), F.col("_metadata.row_index")
+        place = [F.lit(0).cast("bigint").alias("start"), F.col("_metadata.row_index").alias("index")]
     else:
-        start = F.col("_metadata.file_block_start")
-        index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        place = [F.col("_metadata.file_block_start").alias("start")]
     return reader.load(root).select(
         sheet.alias("sheet_name"),
         uri.alias("uri"),
-        start.alias("start"),
-        index.alias("index"),
+        *place,
         *(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)),
     )
 
@@ -113,6 +111,10 @@ def _land_batch(batch: DataFrame, batch_id: int, store: str) -> list[str]:
     )
     if not files:
         return []
+    if "index" not in batch.columns:
+        # Text rows are numbered here, where the batch is a plain frame over file splits.
+        in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        batch = batch.withColumn("index", in_task)
     spark = batch.sparkSession
     places = spark.createDataFrame(
         [(uri, i) for i, (uri, _) in enumerate(files)], "uri string, file_pos long"
