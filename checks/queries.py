@@ -111,9 +111,7 @@ def _(spark, sf_dir):
 @register(
     "normalize_bucket",
     sql.claims_query(
-        "SELECT d.claim_balance_aging AS label, c.bucket AS aging_bucket, count(*) AS n "
-        "FROM dedup d JOIN claims c ON d.sheet_name = c.sheet_name AND d.row_pos = c.row_pos "
-        "AND d.claim_id = c.claim_id GROUP BY 1, 2"
+        "SELECT label, bucket AS aging_bucket, count(*) AS n FROM claims GROUP BY label, bucket"
     ),
 )
 def _(spark, sf_dir):

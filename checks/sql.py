@@ -88,7 +88,8 @@ claims AS (
       WHEN b IN ('46-60', '46_60', '4660') THEN '46-60'
       WHEN b IN ('60+', '60over', '60') THEN '60+'
       WHEN claim_balance_aging IN ('', 'nan', 'None') THEN NULL
-      ELSE claim_balance_aging END AS bucket
+      ELSE claim_balance_aging END AS bucket,
+    claim_balance_aging AS label
   FROM labels_bare),
 priced AS (
   SELECT *, greatest(claim_amount - claim_balance, 0) AS recovered,
