@@ -29,11 +29,6 @@ def spark(tmp_path_factory):
     return session
 
 
-@pytest.fixture(scope="session")
-def sf_small():
-    return "/root/testdata/sf0.001"
-
-
 CLAIM_SCHEMA = (
     "sheet_name string, sheet_pos int, row_pos long, patient_id string, claim_id string, "
     "plan_name string, report_worked_by string, report_worked_date string, "
