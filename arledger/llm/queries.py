@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arledger.llm import sql
 from arledger.llm.common import table
+from arledger.llm.language import language_digest
 from arledger.llm.line_dedup import line_dedup_digest
 from arledger.llm.mixing import mix_sources
+from arledger.llm.pii import pii_digest
 from arledger.llm.quality import quality_digest
+from arledger.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +22,15 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_line_dedup": (_over_documents(line_dedup_digest), sql.LINE_DEDUP),
+    "op2_toxicity": (_toxicity, None),
     "op3_mix_sources": (_over_documents(mix_sources), None),
     "op5_quality_rules": (_over_documents(quality_digest), None),
+    "op6_pii": (_over_documents(pii_digest), None),
+    "op10_language": (_over_documents(language_digest), None),
 }
