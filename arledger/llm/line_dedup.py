@@ -72,25 +72,24 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _first_places(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy(*_LINE).agg(
-        F.min(F.struct(*_PLACE)).alias("place"),
-        F.min(F.col("halves")[0]).alias("k0"),
-        F.min(F.col("halves")[1]).alias("k1"),
-        F.min(F.col("halves")[2]).alias("k2"),
-        F.min(F.col("halves")[3]).alias("k3"),
-    )
+    return occurrences.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE)).alias("place"))
+
 
+def _sharing(occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Lines that share a half with another line: (h1, h2, place).
 
-def _sharing(lines: DataFrame) -> DataFrame:
-    """Lines that share a half with another line. Keys are counted before rows meet them."""
-    keyed = lines.select(*_LINE, "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    Keys are counted before rows meet them; h1 alone tells lines apart here, since a wrong
+    guess only lets a line through to the next step.
+    """
+    keyed = occurrences.select("h1", F.explode("halves").alias("key"))
     shared = (
         keyed.groupBy("key")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where(F.col("low") != F.col("high"))
         .select("key")
     )
-    return keyed.join(shared, "key", "left_semi").select(*_LINE, "place").distinct()
+    sharing = keyed.join(shared, "key", "left_semi").select("h1").distinct()
+    return firsts.join(sharing, "h1", "left_semi")
 
 
 def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -114,99 +113,109 @@ def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def deletion_keys(lines: DataFrame) -> DataFrame:
-    """Hashed deletion neighbourhood of each line: (h1, h2, place, role, key).
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``id``, which orders lines as their places do: one range of places per task."""
+    return lines.repartitionByRange("place").sortWithinPartitions("place").withColumn(
+        "id", F.monotonically_increasing_id()
+    )
 
-    Role ``s``: the string without character i, and i. Role ``t``: the string without any
-    one character. Role ``u``: the line itself, to meet role ``t`` of a longer line. Keys are
-    made per segment of the line, with the rest of the line as two hashes, so a line of n
-    characters costs n short strings and not n copies of itself.
+
+def _segments(lines: DataFrame) -> DataFrame:
+    """Each line's segments, with the rest of the line on both sides as a hash.
+
+    ``around`` is what stays of a line if a character of the segment goes. ``around_own``
+    leaves a segment one shorter, as a line that lost a character has it. Only segments whose
+    rest another line has as well are kept. A line of one segment has no rest and stays.
     """
-    segments = F.sequence(F.lit(0), F.floor((F.char_length("line") - 1) / _SEGMENT).cast("int"))
+    # A line whose length is a multiple of the segment has a last, empty segment: there a
+    # longer line may have its last character.
+    count = F.floor(F.char_length("line") / _SEGMENT).cast("int")
     from_ = F.col("g") * _SEGMENT
-    cut = lines.withColumn("g", F.explode(segments)).select(
-        *_LINE,
-        "place",
-        "g",
-        F.xxhash64(F.lit("before"), F.left("line", from_)).alias("before"),
+    before = F.xxhash64("g", F.left("line", from_))
+    cut = lines.withColumn("g", F.explode(F.sequence(F.lit(0), count))).select(
+        "id",
         F.substr("line", from_ + 1, F.lit(_SEGMENT)).alias("part"),
-        F.xxhash64(F.lit("after"), F.substr("line", from_ + _SEGMENT + 1)).alias("after"),
-        F.xxhash64(F.lit("after"), F.substr("line", from_ + _SEGMENT)).alias("after_own"),
+        F.xxhash64(before, F.substr("line", from_ + _SEGMENT + 1)).alias("around"),
+        F.xxhash64(before, F.substr("line", from_ + _SEGMENT)).alias("around_own"),
+        (F.char_length("line") < _SEGMENT).alias("single"),
     )
-    # A line one shorter than a multiple of the segment has a last, empty segment: the longer
-    # line's last character is the one deleted.
-    size = F.char_length("part")
-    deleted = cut.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1))).withColumn(
-        "rest", F.concat(F.left("part", F.col("i")), F.substr("part", F.col("i") + 2))
+    cut = stored(cut)
+    rests = cut.where(~F.col("single")).select(
+        "id", F.explode(F.array("around", "around_own")).alias("rest")
     )
-    string = F.xxhash64("g", "before", "rest", "after")
-    placed = deleted.select(
-        *_LINE, "place", "i", string.alias("string")
-    ).select(
-        *_LINE,
-        "place",
-        F.explode(
-            F.array(
-                F.struct(F.lit("s").alias("role"), F.xxhash64("string", "i").alias("key")),
-                F.struct(F.lit("t").alias("role"), F.col("string").alias("key")),
-            )
-        ).alias("k"),
+    shared = (
+        rests.groupBy("rest")
+        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("rest")
     )
-    own_string = F.xxhash64("g", "before", F.left("part", F.lit(_SEGMENT - 1)), "after_own")
-    ends = lines.where(F.char_length("line") % _SEGMENT == 0).select(
-        *_LINE,
-        "place",
-        F.xxhash64(
-            (F.char_length("line") / _SEGMENT).cast("int"),
-            F.xxhash64(F.lit("before"), F.col("line")),
-            F.lit(""),
-            F.xxhash64(F.lit("after"), F.lit("")),
-        ).alias("key"),
+    passed = rests.join(shared, "rest", "left_semi").select("id").distinct()
+    return cut.where("single").unionByName(
+        cut.where(~F.col("single")).join(passed, "id", "left_semi")
     )
-    own = cut.select(*_LINE, "place", own_string.alias("key")).unionByName(ends)
-    return placed.select(*_LINE, "place", "k.role", "k.key").unionByName(
-        own.withColumn("role", F.lit("u"))
+
+
+def deletion_keys(lines: DataFrame) -> DataFrame:
+    """Hashed deletion neighbourhood of each line: (id, role, key).
+
+    Role 0: the string without character i, and i. Role 1: the string without any one
+    character. Role 2: the line itself, to meet role 1 of a longer line. Keys are made per
+    segment, with the rest of the line as a hash, so a line of n characters costs n short
+    strings and not n copies of itself.
+    """
+    cut = _segments(lines)
+    size = F.char_length("part")
+    deleted = cut.where(size > 0).withColumn("i", F.explode(F.sequence(F.lit(0), size - 1)))
+    rest = F.concat(F.left("part", F.col("i")), F.substr("part", F.col("i") + 2))
+    string = deleted.select("id", "i", F.xxhash64("around", rest).alias("string"))
+    placed = F.struct(F.lit(0).cast("byte").alias("role"), F.xxhash64("string", "i").alias("key"))
+    any_place = F.struct(F.lit(1).cast("byte").alias("role"), F.col("string").alias("key"))
+    own = cut.select(
+        "id",
+        F.lit(2).cast("byte").alias("role"),
+        F.xxhash64("around_own", F.left("part", F.lit(_SEGMENT - 1))).alias("key"),
+    )
+    return (
+        string.select("id", F.explode(F.array(placed, any_place)).alias("k"))
+        .select("id", "k.role", "k.key")
+        .unionByName(own)
     )
 
 
 def _candidates(keys: DataFrame) -> DataFrame:
-    """(line, earlier line) for each key: with the earliest line of the key, which is enough,
-    since lines of one ``s`` key are all within one edit of each other."""
-    line = F.struct("place", *_LINE)
-    group = F.when(F.col("role") == "s", "s").otherwise("d")
+    """(id, earlier id): with the earliest line of each key, which is enough, since lines of
+    one role 0 key are all within one edit of each other."""
+    placed = F.col("role") == 0
+    keys = keys.withColumn("placed", placed)
     grouped = (
-        keys.groupBy(group.alias("kind"), "key")
+        keys.groupBy("key", "placed")
         .agg(
-            F.min(F.when(F.col("role") != "u", line)).alias("first"),
-            F.min(F.when(F.col("role") == "u", line)).alias("own"),
-            F.min("h1").alias("low"),
-            F.max("h1").alias("high"),
+            F.min(F.when(F.col("role") != 2, F.col("id"))).alias("first"),
+            F.min(F.when(F.col("role") == 2, F.col("id"))).alias("own"),
+            F.min("id").alias("low"),
+            F.max("id").alias("high"),
         )
         .where(F.col("low") != F.col("high"))
-        .where((F.col("kind") == "s") | F.col("own").isNotNull() & F.col("first").isNotNull())
-        .drop("low", "high")
+        .where(F.col("first").isNotNull() & (F.col("placed") | F.col("own").isNotNull()))
+        .select("key", "placed", "first", "own")
     )
-    member = keys.withColumn("kind", group)
-    other = F.when(F.col("role") == "t", F.col("own")).otherwise(F.col("first"))
+    other = F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("first"))
     return (
-        member.join(grouped, ["kind", "key"])
-        .withColumn("other", other)
-        .where(F.col("other.place") < F.col("place"))
-        .select(*_LINE, F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
+        keys.join(grouped, ["key", "placed"])
+        .select("id", other.alias("other_id"))
+        .where(F.col("other_id") < F.col("id"))
         .distinct()
     )
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that lie within one edit of an earlier, different line."""
-    texts = stored(_with_text(docs, _sharing(firsts)))
-    pairs = _candidates(deletion_keys(texts))
-    other = texts.select(
-        F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other")
-    )
+    texts = stored(_numbered(_with_text(docs, _sharing(occurrences, firsts))))
+    pairs = _candidates(deletion_keys(texts.select("id", "line")))
+    other = texts.select(F.col("id").alias("other_id"), F.col("line").alias("other"))
     return (
-        pairs.join(texts.select(*_LINE, "line"), list(_LINE))
-        .join(other, ["o1", "o2"])
+        pairs.join(texts.select("id", *_LINE, "line"), "id")
+        .join(other, "other_id")
         .where(F.levenshtein("line", "other", 1).between(0, 1))
         .select(*_LINE)
         .distinct()
@@ -217,7 +226,7 @@ def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
     """Dropped line numbers per document: (d_id, d_dk, drops)."""
     occurrences = stored(line_occurrences(docs, min_chars))
     firsts = stored(_first_places(occurrences))
-    near = near_lines(docs, firsts).withColumn("near", F.lit(True))
+    near = near_lines(docs, occurrences, firsts).withColumn("near", F.lit(True))
     # Only lines that lose an occurrence meet the occurrences.
     lines = firsts.select(*_LINE, "place").join(near, list(_LINE), "left")
     return (
