@@ -2,8 +2,8 @@
 
 A line is dropped if an earlier line of the corpus lies within one character insertion,
 deletion or substitution of it. Earlier means smaller (doc_id, text hash, line number).
-Equal lines are collapsed first. Of the different lines, those that share a half with another
-line of about their length go on; every other line is proven to be further than one edit
+Equal lines are collapsed first. Of the different lines, those that share their beginning or
+end with another line of about their length go on; every other line is proven to be further than one edit
 away. For each line that is left, all strings with one character deleted are hashed:
 
 * lines with equal (deleted string, place) differ in that one character;
@@ -38,22 +38,22 @@ def _line_id(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Hashed halves that a line must share with any line within one edit of it.
+def _ends(line: Column, n: Column) -> Column:
+    """Hashed beginning and end, one of which a line shares with any line within one edit.
 
-    ``base`` is the length of the shorter line of a possible pair: the line's own length, or
-    one less where it is the longer one. An edit leaves the first ``base // 2`` characters or
-    the last ``base - base // 2`` alone.
+    Both are ``size`` characters long, at most half of the line, so an edit leaves one alone.
+    The size is the same for lines of 8k to 8k + 7 characters; a line of 8k also gives the
+    ends of the size below, for pairs with a line one shorter.
     """
 
-    def keys(base: Column) -> list[Column]:
-        half = (base / 2).cast("int")
+    def keys(size: Column) -> list[Column]:
         return [
-            F.xxhash64(F.lit("head"), base, F.left(line, half)),
-            F.xxhash64(F.lit("tail"), base, F.right(line, base - half)),
+            F.xxhash64(F.lit("head"), size, F.left(line, size)),
+            F.xxhash64(F.lit("tail"), size, F.right(line, size)),
         ]
 
-    return F.array(*keys(n), *keys(n - 1))
+    size = (F.floor(n / 8) * 4).cast("int")
+    return F.when(n % 8 == 0, F.array(*keys(size), *keys(size - 4))).otherwise(F.array(*keys(size)))
 
 
 def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -67,7 +67,7 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         )
         .withColumn("n", F.char_length("line"))
         .where(F.col("n") >= min_chars)
-        .select(*_PLACE, *_line_id(F.col("line")), _halves(F.col("line"), F.col("n")).alias("halves"))
+        .select(*_PLACE, *_line_id(F.col("line")), _ends(F.col("line"), F.col("n")).alias("ends"))
     )
 
 
@@ -76,12 +76,12 @@ def _first_places(occurrences: DataFrame) -> DataFrame:
 
 
 def _sharing(occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Lines that share a half with another line: (h1, h2, place).
+    """Lines that share an end with another line: (h1, h2, place).
 
     Keys are counted before rows meet them; h1 alone tells lines apart here, since a wrong
     guess only lets a line through to the next step.
     """
-    keyed = occurrences.select("h1", F.explode("halves").alias("key"))
+    keyed = occurrences.select("h1", F.explode("ends").alias("key"))
     shared = (
         keyed.groupBy("key")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
@@ -208,6 +208,33 @@ def _candidates(keys: DataFrame) -> DataFrame:
     )
 
 
+def _within_one_edit(a: Column, b: Column) -> Column:
+    """Edit distance of at most one, in time linear in the lines up to a logarithm.
+
+    The common beginning is found by halving; what follows it must be equal after one
+    character of either line, or of both, is left out.
+    """
+    size = F.least(F.char_length(a), F.char_length(b))
+    middle = lambda x: ((x["low"] + x["high"] + 1) / 2).cast("int")
+    equal = lambda x: F.left(a, middle(x)) == F.left(b, middle(x))
+    common = F.aggregate(
+        F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int")),
+        F.struct(F.lit(0).alias("low"), size.alias("high")),
+        lambda x, _: F.struct(
+            F.when(equal(x), middle(x)).otherwise(x["low"]).alias("low"),
+            F.when(equal(x), x["high"]).otherwise(middle(x) - 1).alias("high"),
+        ),
+        lambda x: x["low"],
+    )
+
+    def rests_equal(at: Column) -> Column:
+        rest_a, rest_b = F.substr(a, at + 1), F.substr(b, at + 1)
+        shorter_a, shorter_b = F.substr(a, at + 2), F.substr(b, at + 2)
+        return (shorter_a == rest_b) | (rest_a == shorter_b) | (shorter_a == shorter_b)
+
+    return F.exists(F.array(common), rests_equal)
+
+
 def near_lines(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that lie within one edit of an earlier, different line."""
     texts = stored(_numbered(_with_text(docs, _sharing(occurrences, firsts))))
@@ -216,7 +243,7 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> Da
     return (
         pairs.join(texts.select("id", *_LINE, "line"), "id")
         .join(other, "other_id")
-        .where(F.levenshtein("line", "other", 1).between(0, 1))
+        .where(_within_one_edit(F.col("line"), F.col("other")))
         .select(*_LINE)
         .distinct()
     )
