@@ -11,6 +11,7 @@ from arledger.llm.common import table
 from arledger.llm.language import language_digest
 from arledger.llm.line_dedup import line_dedup_digest
 from arledger.llm.mixing import mix_sources
+from arledger.llm.ngram_join import ngram_components
 from arledger.llm.pii import pii_digest
 from arledger.llm.quality import quality_digest
 from arledger.llm.toxicity import toxicity_digest
@@ -30,6 +31,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_line_dedup": (_over_documents(line_dedup_digest), sql.LINE_DEDUP),
     "op2_toxicity": (_toxicity, None),
     "op3_mix_sources": (_over_documents(mix_sources), None),
+    "op4_ngram_join": (_over_documents(ngram_components), None),
     "op5_quality_rules": (_over_documents(quality_digest), None),
     "op6_pii": (_over_documents(pii_digest), None),
     "op10_language": (_over_documents(language_digest), None),
