@@ -12,8 +12,10 @@ from arledger.llm.language import language_digest
 from arledger.llm.line_dedup import line_dedup_digest
 from arledger.llm.mixing import mix_sources
 from arledger.llm.ngram_join import ngram_components
+from arledger.llm.packing import pack_documents
 from arledger.llm.pii import pii_digest
 from arledger.llm.quality import quality_digest
+from arledger.llm.topk import top_products
 from arledger.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,10 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_line_dedup": (_over_documents(line_dedup_digest), sql.LINE_DEDUP),
     "op2_toxicity": (_toxicity, None),
@@ -34,5 +40,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op4_ngram_join": (_over_documents(ngram_components), None),
     "op5_quality_rules": (_over_documents(quality_digest), None),
     "op6_pii": (_over_documents(pii_digest), None),
+    "op7_packing": (_over_documents(pack_documents), None),
+    "op8_topk": (_topk, sql.TOP_K),
     "op10_language": (_over_documents(language_digest), None),
 }
