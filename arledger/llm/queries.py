@@ -15,6 +15,7 @@ from arledger.llm.ngram_join import ngram_components
 from arledger.llm.packing import pack_documents
 from arledger.llm.pii import pii_digest
 from arledger.llm.quality import quality_digest
+from arledger.llm.suffix_dedup import repeats_digest
 from arledger.llm.topk import top_products
 from arledger.llm.toxicity import toxicity_digest
 
@@ -42,5 +43,6 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op6_pii": (_over_documents(pii_digest), None),
     "op7_packing": (_over_documents(pack_documents), None),
     "op8_topk": (_topk, sql.TOP_K),
+    "op9_suffix_dedup": (_over_documents(repeats_digest), None),
     "op10_language": (_over_documents(language_digest), None),
 }
