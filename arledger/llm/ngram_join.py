@@ -38,7 +38,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: The sketch has 2**SKETCH_BITS counters, whatever the size of the corpus.
 SKETCH_BITS = 20
 _BLOCK = 1 << 14
-_PARTS = 32
+_PARTS = 128
+#: The table that rules out documents before their sets are made has 2**_MARK_BITS bits.
+_MARK_BITS = 24
 
 
 def _shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -210,20 +212,49 @@ def _passes_suffix(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size with a bit set for each id: what it rules out is not there."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << _MARK_BITS))
+    rows = (
+        ids.groupBy(F.bitmap_bucket_number(bit).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+        .collect()
+    )
+    size = len(rows[0]["bits"]) if rows else 1
+    table = np.zeros((1 << _MARK_BITS) // 8, dtype=np.uint8)
+    for row in rows:
+        at = (row["part"] - 1) * size
+        table[at : at + size] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(table, bitorder="little").astype(bool)
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, hashes) of the wanted documents: packed shingle hashes in rising order."""
+    """(doc, hashes) of the wanted documents: packed shingle hashes in rising order.
+
+    Texts are not shuffled: a task turns those that the bit table lets through into sets, and
+    a join leaves out the few that were not asked for.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked.value[batch.column(2).to_numpy()]))
             packed = [hashes.tobytes() for _, hashes in _sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary())], ["doc", "hashes"]
             )
 
-    rows = narrowed(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc")
-    return stored(
-        rows.join(wanted, "doc", "left_semi").mapInArrow(pack, "doc bigint, hashes binary")
+    rows = narrowed(docs, "doc_id", "text").select(
+        F.col("doc_id").alias("doc"),
+        "text",
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << _MARK_BITS)).alias("bit"),
     )
+    sets = rows.mapInArrow(pack, "doc bigint, hashes binary")
+    return stored(sets.join(wanted, "doc", "left_semi"))
+
+
+def _documents_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -298,12 +329,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     )
     entries = _shared_entries(sets, classes)
-    whole = _whole_sets(docs, entries.select("doc").distinct())
     tried = stored(_passes_suffix(_hub_pairs(entries), sets))
-    links = _verified(tried, whole)
+    links = _verified(tried, _whole_sets(docs, _documents_of(tried)))
     labels = connected_components(links)
     crossing = _passes_suffix(_crossing_pairs(entries, labels), sets)
-    more = _verified(crossing.join(tried, ["a", "b"], "left_anti"), whole)
+    crossing = stored(crossing.join(tried, ["a", "b"], "left_anti"))
+    more = _verified(crossing, _whole_sets(docs, _documents_of(crossing)))
     labels = connected_components(links.unionByName(more))
     found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         *(F.col(k).alias(f"c_{k}") for k in key),
