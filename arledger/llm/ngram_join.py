@@ -214,7 +214,7 @@ def _passes_suffix(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _marks(ids: DataFrame) -> np.ndarray:
     """A bit table of fixed size with a bit set for each id: what it rules out is not there."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << _MARK_BITS))
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << _MARK_BITS)) + 1  # these functions count from 1
     rows = (
         ids.groupBy(F.bitmap_bucket_number(bit).alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
