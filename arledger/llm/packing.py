@@ -15,6 +15,7 @@ matter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +32,9 @@ WINDOW = 4096
 END_ID = 2
 #: Lengths are rounded up to multiples of window / BINS.
 BINS = 256
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-_REMEMBERED = 1_000_000
+#: Words and parts whose ids a worker remembers, at some 200 bytes each; beyond it, it starts
+#: anew.
+_REMEMBERED = 2_500_000
 _EDGES = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
@@ -46,24 +48,55 @@ class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words in order, and most words have been seen before.
+    those of its words in order, and most words have been seen before. A new word of plain
+    Latin letters, digits and signs is lowered and cut here by the tokenizer's own pattern,
+    and its parts, which many words share, go to the tokenizer's model; any other word goes
+    through the whole tokenizer.
     """
 
+    # The tokenizer's pattern, for words of these characters only.
+    _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    _PARTS = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
+        r"|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+    )
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self._as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self._ids: dict[str, bytes] = {"": b""}
+        self._part_ids: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self._part_ids.get(part)
+        if ids is None:
+            tokens = self._model.tokenize(part.translate(self._as_bytes))
+            ids = self._part_ids[part] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        other = []
+        for word in words:
+            if "<|" not in word and self._PLAIN.fullmatch(word):
+                self._ids[word] = b"".join(map(self._part, self._PARTS.findall(word.lower())))
+            else:
+                other.append(word)
+        for word, got in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self._ids[word] = np.array(got.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [text.translate(_EDGES).split(" ") for text in texts]
-        if len(self._ids) > _REMEMBERED:
-            self._ids = {"": b""}
-        new = list(set().union(*split).difference(self._ids))
-        for word, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._ids[word] = np.array(got.ids, dtype="<u4").tobytes()
+        if len(self._ids) + len(self._part_ids) > _REMEMBERED:
+            self._ids, self._part_ids = {"": b""}, {}
+        self._learn(set().union(*split).difference(self._ids))
         known = self._ids.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
