@@ -6,6 +6,8 @@ parsing uses the ``try_*`` forms because ANSI mode is on by default.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,30 +30,90 @@ _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 # The shape is tested before parsing, which keeps the parser away from text it would only
 # reject by raising an exception per row. ISO text, the usual case, is a plain cast.
-_OTHER_SHAPE = (
-    r"^(\d{1,2}([/-])\d{1,2}\2(\d{4}|\d{2})( \d{1,2}:\d{2}(:\d{2})?)?"
-    r"|\d{4}|\d{8}|\d{4}/\d{1,2}/\d{1,2}|(\d{1,2} )?[A-Za-z]{3,9} (\d{1,2},? )?\d{4})$"
+_TIME = r"([ T]\d{1,2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?( ?[AaPp]\.?[Mm]\.?)?)?"
+_DAY_SHAPE = (
+    r"^(\d{1,2}([-/.])\d{1,2}\2(\d{4}|\d{2})|\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{8}"
+    r"|\d{1,2}[ -][A-Za-z]{3,9}\.?,?[ -](\d{4}|\d{2})|[A-Za-z]{3,9}\.? \d{1,2},? \d{4})"
 )
+_MONTH_SHAPE = r"^(\d{1,2}[-/]\d{4}|[A-Za-z]{3,9}[ -]\d{4}|\d{4})$"
+_WEEKDAY = r"^(?i:(mon|tues?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?)\.?,? +"
 # All styles in one pattern of optional sections: one parser call instead of one per style.
-_MONTH_FIRST = (
-    "[yyyy/M/d][M/d/yyyy][M/d/yy][M-d-yyyy][M-d-yy][yyyyMMdd][d MMM yyyy][d MMMM yyyy]"
-    "[MMM d[,] yyyy][MMMM d[,] yyyy][MMM yyyy][MMMM yyyy][yyyy][ H:mm[:ss]]"
+_DAY_STYLES = (
+    "[M/d/yyyy][M-d-yyyy][M.d.yyyy][yyyy/M/d][yyyy-M-d][yyyy.M.d][yyyyMMdd]"
+    "[d MMM yyyy][d MMMM yyyy][MMM d yyyy][MMMM d yyyy]"
 )
-_DAY_FIRST = "[d/M/yyyy][d/M/yy][d-M-yyyy][d-M-yy][ H:mm[:ss]]"
+_DAY_FIRST_STYLES = "[d/M/yyyy][d-M-yyyy][d.M.yyyy]"
+_MONTH_STYLES = "[M/yyyy][MMM yyyy][MMMM yyyy][yyyy]"
+_TIME_STYLES = "[ h:mm:ss a][ h:mm a][ h a][ H:mm:ss][ H:mm]"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used. It also keeps
+    long expressions out of the generated code of the usual case."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _plain_date(text: Column) -> Column:
+    """One spelling for many: no weekday, ordinal endings, commas and fractions of seconds,
+    ``Sep`` for ``Sept``, capital AM and PM after a blank, four-digit years."""
+    text = F.regexp_replace(text, _WEEKDAY, "")
+    text = F.regexp_replace(text, r"(?i)(?<=\b\d{1,2})(st|nd|rd|th)\b", "")
+    text = F.regexp_replace(text, r"(?i)\bsept\b", "Sep")
+    text = F.regexp_replace(text, r"(?<=[A-Za-z])\.|,", "")
+    text = F.regexp_replace(text, r"(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{2,4})", "$1 $2 $3")
+    text = F.regexp_replace(text, r"^([A-Za-z]{3,9})-(\d{4})$", "$1 $2")
+    text = F.regexp_replace(text, r"(?<=\d)T(?=\d)", " ")
+    text = F.regexp_replace(text, r"(:\d{2}:\d{2})\.\d+", "$1")
+    text = F.regexp_replace(text, r"(?i) ?([ap])\.?m\.?$", " $1M")
+    # Month names and the half of the day are read in one spelling only.
+    return _once(F.regexp_replace(F.initcap(text), "([AP])m$", "$1M"), _with_whole_year)
+
+
+def _with_whole_year(text: Column) -> Column:
+    """Two-digit years become those less than fifty years ahead."""
+    short = r"^(\d{1,2}([-/. ])(\d{1,2}|[A-Za-z]{3,9})\2)(\d{2})(?!\d)"
+    year = F.regexp_extract(text, short, 4)
+    far = year.try_cast("int") + 2000 >= F.year(F.curdate()) + 50
+    rest = F.regexp_replace(text, short, "")
+    whole = F.concat(F.regexp_extract(text, short, 1), F.when(far, "19").otherwise("20"), year, rest)
+    return F.when(year != "", whole).otherwise(text)
+
+
+def _fraction(text: Column) -> Column:
+    """Microseconds behind the seconds; zero without any."""
+    digits = F.regexp_extract(text, r":\d{2}:\d{2}\.(\d{1,6})", 1)
+    return F.coalesce(F.rpad(digits, 6, "0").try_cast("bigint"), F.lit(0))
+
+
+def _other_date(text: Column) -> Column:
+    """Date in any style but ISO."""
+    bare = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+
+    def day(plain: Column) -> Column:
+        parsed = F.coalesce(
+            F.try_to_timestamp(plain, F.lit(_DAY_STYLES + _TIME_STYLES)),
+            F.try_to_timestamp(plain, F.lit(_DAY_FIRST_STYLES + _TIME_STYLES)),
+        )
+        return F.timestamp_micros(F.unix_micros(parsed) + _fraction(text))
+
+    def month(plain: Column) -> Column:
+        return F.try_to_timestamp(plain, F.lit(_MONTH_STYLES))
+
+    return _once(
+        bare,
+        lambda shape: F.when(shape.rlike(_DAY_SHAPE + _TIME + "$"), _once(_plain_date(text), day)).when(
+            shape.rlike(_MONTH_SHAPE), _once(_plain_date(text), month)
+        ),
+    )
 
 
 def parse_date(text: Column) -> Column:
     """Timestamp of a date written in any of the known styles; null when none fits. Where
     day and month could be swapped, the month comes first."""
     text = F.btrim(text.cast("string"), F.lit(_EDGE_CHARS))
-    other = F.coalesce(
-        F.try_to_timestamp(text, F.lit(_MONTH_FIRST)),
-        F.try_to_timestamp(text, F.lit(_DAY_FIRST)),
-    )
-    return F.coalesce(
-        F.when(F.substring(text, 5, 1) == "-", text.try_cast("timestamp")),
-        F.when(text.rlike(_OTHER_SHAPE), other),
-    )
+    # Only ISO text goes to the cast; whatever it rejects is tried as another style.
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}(-\d{1,2}.*)?$"), text.try_cast("timestamp"))
+    return F.coalesce(iso, _once(text, _other_date))
 
 
 def money_or_zero(text: Column) -> Column:
@@ -73,7 +135,8 @@ _BUCKET_TOKEN = {"0-30": "30", "31-45": "31", "46-60": "46", "60+": "60"}
 
 def _whole_label_pattern() -> str:
     """Accepted whole spellings of any bucket, with blanks between characters and with
-    ``to`` and ``plus`` in place of the signs. Their first digit tells the bucket."""
+    ``to`` and ``plus`` in place of the signs. Their first digit tells the bucket. Spellings of
+    a bucket share one pattern, so a label is searched once per bucket and not per spelling."""
     signs = {"-": rf"(-|t{_BLANK}*o)", "+": rf"(\+|p{_BLANK}*l{_BLANK}*u{_BLANK}*s)"}
     spellings = (
         rf"{_BLANK}*".join(signs.get(char, char) for char in spelling)

@@ -110,11 +110,17 @@ def worked_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(resolve(df, "worked_by", required=True)).isNotNull())
 
 
-def target_dates(df: DataFrame, dates: Sequence[str] = TREND_DATES) -> DataFrame:
-    """Rows whose snapshot day is one of the given days. Compare count() with len(dates)
-    to find out whether all of them are loaded."""
+def target_dates(
+    df: DataFrame, dates: Sequence[str] = TREND_DATES, complete: bool = False
+) -> DataFrame:
+    """Rows whose snapshot day is one of the given days. With ``complete``, no rows unless
+    each of the days has one."""
     days = [F.to_date(F.lit(d)) for d in dates]
-    return df.filter(F.to_date("snapshot_date").isin(*days))
+    chosen = df.filter(F.to_date("snapshot_date").isin(*days))
+    if not complete:
+        return chosen
+    found = chosen.agg(F.count_distinct(F.to_date("snapshot_date")).alias("n"))
+    return chosen.filter(found.select("n").scalar() == len(set(dates)))
 
 
 def week_labels(df: DataFrame, dates: Sequence[str] = TREND_DATES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,10 +23,6 @@ def _known_position(name: str, order: Sequence[str]) -> Column:
     return F.when(F.col(name).isNotNull(), F.struct(*order))
 
 
-def _first_known(name: str, order: Sequence[str]) -> Column:
-    return F.min_by(name, _known_position(name, order))
-
-
 def _last_known(name: str, order: Sequence[str]) -> Column:
     return F.max_by(name, _known_position(name, order))
 
@@ -36,19 +32,31 @@ def follow_up_stats(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFram
 
     "First" and "last" follow sheet order, then row order; pass
     ``order=("snapshot_date", "row_pos")`` to follow dates.
+
+    One aggregate by claim, so rows are shuffled once, after tasks have added up theirs.
+    Workers and days are collected as sets, which hold at most all workers and all days,
+    also for the key that rows without ids share; counting two distinct columns would
+    multiply the rows instead. First and last values are minima of (position, value).
     """
     worked = with_claim_key(worked_rows(df))
+    position = F.struct(*order)
+
+    def value(name: str, pick: Callable[[Column], Column]) -> Column:
+        known = F.col(name).isNotNull()
+        at = F.struct(position.alias("at"), F.col(name).alias("v"))
+        return pick(F.when(known, at))["v"]
+
     stats = worked.groupBy("composite_key").agg(
         F.count(F.lit(1)).alias("touch_count"),
-        F.count_distinct("report_worked_by").alias("unique_workers"),
-        F.count_distinct("report_worked_date").alias("worked_dates"),
-        _last_known("claim_status", order).alias("latest_status"),
-        _last_known("claim_balance", order).alias("latest_balance"),
-        _first_known("claim_balance", order).alias("initial_balance"),
-        _first_known("patient_id", order).alias("patient_id"),
-        _first_known("claim_id", order).alias("claim_id"),
-        _first_known("plan_name", order).alias("plan_name"),
-        _last_known("report_worked_by", order).alias("report_worked_by"),
+        F.size(F.collect_set("report_worked_by")).cast("long").alias("unique_workers"),
+        F.size(F.collect_set("report_worked_date")).cast("long").alias("worked_dates"),
+        value("claim_status", F.max).alias("latest_status"),
+        value("claim_balance", F.max).alias("latest_balance"),
+        value("claim_balance", F.min).alias("initial_balance"),
+        value("patient_id", F.min).alias("patient_id"),
+        value("claim_id", F.min).alias("claim_id"),
+        value("plan_name", F.min).alias("plan_name"),
+        value("report_worked_by", F.max).alias("report_worked_by"),
     )
     recovered = F.greatest(F.col("initial_balance") - F.col("latest_balance"), F.lit(0.0))
     return stats.withColumn("recovered_amount", recovered)

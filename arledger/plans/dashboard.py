@@ -39,6 +39,7 @@ from arledger.operators.metrics import (
 from arledger.operators.portfolio import latest_claims
 from arledger.operators.snapshots import current_snapshot, dated, sheet_list
 from arledger.plans.trend import Trend, build_trend
+from arledger.sources.landing import materialize
 
 
 class Dashboard(NamedTuple):
@@ -77,17 +78,37 @@ def filtered_claims(raw: DataFrame, spec: FilterSpec | None = None) -> DataFrame
     return default_filters(cleaned, clean_claims(rows, duplicates="keep"))
 
 
-def dashboard(raw: DataFrame, spec: FilterSpec | None = None) -> Dashboard:
-    """All dashboard tables of raw snapshot rows."""
-    cleaned = clean_claims(dated(raw))
-    return dashboard_tables(cleaned, filtered_claims(raw, spec), sheet_list(raw))
+def dashboard(
+    raw: DataFrame,
+    spec: FilterSpec | None = None,
+    sheets: DataFrame | None = None,
+    path: str | None = None,
+) -> Dashboard:
+    """All dashboard tables of raw snapshot rows.
+
+    ``sheets`` (``sources.snapshots.list_sheets``) also knows sheets without rows; by
+    default the sheets are those that have rows. With ``path``, a folder all executors
+    reach, the cleaned rows and the filtered ones are landed there once, and every table
+    reads its columns and partitions from them instead of starting from ``raw``.
+    """
+    if sheets is None:
+        known = sheet_list(raw)
+    else:
+        known = dated(sheets).select("sheet_name", "sheet_pos", "snapshot_date").distinct()
+    if path is None:
+        return dashboard_tables(clean_claims(dated(raw)), filtered_claims(raw, spec), known)
+    cleaned = materialize(clean_claims(dated(raw)), f"{path}/cleaned")
+    if spec is not None:
+        chosen = apply_filters(cleaned, spec)
+    else:
+        chosen = default_filters(cleaned)
+    return dashboard_tables(cleaned, materialize(chosen, f"{path}/filtered"), known)
 
 
 def dashboard_tables(cleaned: DataFrame, claims: DataFrame, sheets: DataFrame) -> Dashboard:
     """Dashboard tables from cleaned rows, the filtered part of them and the sheet list.
 
-    Every table is its own plan over ``claims``. When many are wanted, land ``claims``
-    first (``sources.landing``) and pass the landed table: each plan then reads only its
+    Every table is its own plan over ``claims``. On landed claims each plan reads only its
     columns, and the current-snapshot tables only one partition.
     """
     current = current_snapshot(claims, sheets)

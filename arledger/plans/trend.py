@@ -63,9 +63,12 @@ def _cube(df: DataFrame) -> DataFrame:
     return df if "n_claims" in df.columns else trend_cube(df)
 
 
-def snapshot_summary(df: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+def snapshot_summary(
+    df: DataFrame, sheets: DataFrame | None = None, positions: bool = False
+) -> DataFrame:
     """One row per dated sheet, oldest first. With ``sheets`` a sheet that a filter left
-    without rows still shows, with zeros. ``df`` is claims or a ``trend_cube``."""
+    without rows still shows, with zeros. ``df`` is claims or a ``trend_cube``. With
+    ``positions`` the sheet's position is kept, which orders sheets of one date."""
     keys = (*SHEET_KEYS, "snapshot_date")
     sums = _cube(df).groupBy(*keys).agg(*(F.sum(m).alias(m) for m in MEASURES))
     if sheets is not None:
@@ -81,11 +84,15 @@ def snapshot_summary(df: DataFrame, sheets: DataFrame | None = None) -> DataFram
             "sum_recovered": "dollars_recovered",
         }
     )
-    return table.orderBy("snapshot_date", "sheet_pos").select(*SUMMARY_COLUMNS)
+    kept = (*SUMMARY_COLUMNS, "sheet_pos") if positions else SUMMARY_COLUMNS
+    return table.orderBy("snapshot_date", "sheet_pos").select(*kept)
 
 
-def aging_trend(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
-    """Aging summary per dated sheet, newest first; shares are within the sheet."""
+def aging_trend(
+    df: DataFrame, keep_unknown: bool = False, positions: bool = False
+) -> DataFrame:
+    """Aging summary per dated sheet, newest first; shares are within the sheet. With
+    ``positions`` the sheet's position is kept."""
     table = tag_snapshots(aging_table(_cube(df), (*SHEET_KEYS, "snapshot_date")))
     rank = bucket_rank(F.col("aging_bucket"))
     ordered = table.orderBy(
@@ -93,7 +100,8 @@ def aging_trend(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
         "sheet_pos",
         rank.asc_nulls_last(),
         F.col("aging_bucket").asc_nulls_last(),
-    ).drop("sheet_pos")
+    )
+    ordered = ordered if positions else ordered.drop("sheet_pos")
     if keep_unknown:
         return ordered
     return ordered.withColumn("aging_bucket", F.when(rank.isNotNull(), F.col("aging_bucket")))
@@ -167,10 +175,15 @@ def progression_table(summary: DataFrame) -> DataFrame:
     )
 
 
+def _sheet_place(df: DataFrame) -> list[str]:
+    """Columns that order snapshots: sheets of one date by position, by name without it."""
+    return ["snapshot_date", "sheet_pos" if "sheet_pos" in df.columns else "sheet_name"]
+
+
 def _first_and_last(summary: DataFrame, values: Sequence[str]) -> DataFrame:
     """One row of structs ``b`` and ``e``: the values of the first and the last snapshot."""
     row = F.struct(*values)
-    place = F.struct("snapshot_date", "sheet_name")
+    place = F.struct(*_sheet_place(summary))
     ends = summary.agg(F.min_by(row, place).alias("b"), F.max_by(row, place).alias("e"))
     return ends.filter("b is not null")
 
@@ -222,9 +235,10 @@ def delta_cards(deltas: DataFrame) -> DataFrame:
 
 
 def net_improvement(summary: DataFrame, dates: Sequence[str] = TREND_DATES) -> DataFrame:
-    """What went down between the first and last given day: begin minus end."""
+    """What went down between the first and last given day: begin minus end. No row unless
+    every given day has a snapshot."""
     values = ("total_claims", "outstanding_balance")
-    ends = _first_and_last(target_dates(summary, dates), values)
+    ends = _first_and_last(target_dates(summary, dates, complete=True), values)
     return ends.select(
         F.col("b.total_claims").alias("begin_claims"),
         F.col("e.total_claims").alias("end_claims"),
@@ -239,7 +253,7 @@ def net_improvement(summary: DataFrame, dates: Sequence[str] = TREND_DATES) -> D
 
 def bucket_growth(aging: DataFrame) -> DataFrame:
     """Change of each bucket from one snapshot to the next; null for its first snapshot."""
-    earlier = W.partitionBy("aging_bucket").orderBy("snapshot_date", "sheet_name")
+    earlier = W.partitionBy("aging_bucket").orderBy(*_sheet_place(aging))
     return aging.select(
         "snapshot_date",
         "sheet_name",

@@ -57,7 +57,7 @@ def stream_snapshots(
         .option("maxFilesPerTrigger", max_files)
     )
     if fmt == "csv":
-        reader = reader.options(header="true", enforceSchema="false")
+        reader = reader.options(header="true", enforceSchema="false", escape='"')
     names = distinct_names([standard_name(c) or f"column_{i}" for i, c in enumerate(columns)])
     uri = F.col("_metadata.file_path")
     folder = F.replace(F.regexp_extract(uri, "([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B"))
@@ -160,11 +160,22 @@ def refresh_snapshots(
     # A few rows per sheet, used by both tables; rebuilt from files if an executor is lost.
     cube = trend_cube(claims).persist()
     try:
-        now = F.current_timestamp()
-        summary = snapshot_summary(cube, sheet_list(raw)).withColumn("refreshed_at", now)
-        aging = aging_trend(cube).withColumn("refreshed_at", now)
+        # One time for both tables of a refresh.
+        now = spark.range(1).select(F.current_timestamp()).first()[0]
+        sheets = sheet_list(raw)
+        summary = snapshot_summary(cube, sheets).withColumn("refreshed_at", F.lit(now))
+        aging = aging_trend(cube).withColumn("refreshed_at", F.lit(now))
+        # A sheet that is left without rows still writes its partition, which replaces an
+        # earlier one; its mark has no values and is not read.
+        marks = (
+            sheets.select("snapshot_date", "sheet_name")
+            .join(aging.select("sheet_name").distinct(), "sheet_name", "left_anti")
+            .withColumn("refreshed_at", F.lit(now))
+        )
         _replace_partitions(summary, f"{store}/summary", PARTITIONS)
-        _replace_partitions(aging, f"{store}/aging", PARTITIONS)
+        _replace_partitions(
+            aging.unionByName(marks, allowMissingColumns=True), f"{store}/aging", PARTITIONS
+        )
     finally:
         cube.unpersist()
 
@@ -205,7 +216,8 @@ def read_summary(spark: SparkSession, store: str) -> DataFrame:
 
 def read_aging(spark: SparkSession, store: str) -> DataFrame:
     """Aging per snapshot as last refreshed."""
-    return spark.read.schema(AGING_SCHEMA).parquet(f"{store}/aging")
+    table = spark.read.schema(AGING_SCHEMA).parquet(f"{store}/aging")
+    return table.filter(F.col("claim_count").isNotNull())
 
 
 def last_refresh(spark: SparkSession, store: str) -> DataFrame:

@@ -14,7 +14,7 @@ from arledger.functions import text
 from arledger.operators import filters, followup, metrics, portfolio, snapshots
 from arledger.operators.cleaning import clean_claims
 from arledger.plans import trend
-from arledger.plans.dashboard import filtered_claims
+from arledger.plans.dashboard import dashboard, filtered_claims
 from arledger.sources import files, grid, landing, reports
 from arledger.sources import snapshots as sheets
 from arledger.streaming import refresh
@@ -202,14 +202,14 @@ def _(spark, sf_dir):
     return grid.grid_to_table(heads.unionByName(rows))
 
 
-_TABLE_FILES = "{region,nation,customer,supplier,part,orders}.parquet"
+_TABLE_FILES = "{region,nation,customer,supplier,part,orders,lineitem}.parquet"
 
 
 @register(
     "read_snapshots_row_counts",
     " UNION ALL ".join(
         f"SELECT '{t}' AS sheet_name, count(*) AS rows FROM {t}"
-        for t in ("region", "nation", "customer", "supplier", "part", "orders")
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
     ),
 )
 def _(spark, sf_dir):
@@ -221,20 +221,18 @@ def _(spark, sf_dir):
 @register(
     "snapshot_row_counts",
     sql.raw_query(
-        "SELECT sheet_name, count(*) FILTER (WHERE claim_status <> '') AS rows "
-        "FROM claims_raw GROUP BY sheet_name"
+        "SELECT sheet_name, count(*) AS rows FROM claims_raw GROUP BY sheet_name "
+        "UNION ALL SELECT 'Notes', 0"
     ),
 )
 def _(spark, sf_dir):
-    """Counted over the status column alone, where many cells are blank."""
-    return sheets.snapshot_row_counts(
-        claims_raw(spark, sf_dir).select("sheet_name", "claim_status")
-    )
-
-
-@register("latest_source_file")
-def _(spark, sf_dir):
-    return files.latest_file(spark, sf_dir, "*.parquet")
+    """Counted over all columns. Every row also comes as a copy of blanks, and an undated
+    sheet has such rows alone."""
+    raw = claims_raw(spark, sf_dir)
+    blanks = {c: F.when(F.col("row_pos") % 2 == 0, F.lit("")) for c in DATA_COLUMNS}
+    blank = raw.withColumns(blanks)
+    notes = blank.withColumn("sheet_name", F.lit("Notes"))
+    return sheets.snapshot_row_counts(raw.unionByName(blank).unionByName(notes))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -906,3 +904,217 @@ def _(spark, sf_dir):
     """Trend rows kept by the stream equal the trend of all rows."""
     store = _streamed_store(spark, sf_dir)
     return presented(refresh.read_summary(spark, store).select(*trend.SUMMARY_COLUMNS))
+
+
+@register(
+    "stream_aging_trend",
+    sql.trend_query(
+        f"""SELECT strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, snapshot_label, {_STREAM_NAME},
+  {sql.SORTED_BUCKET} AS aging_bucket, claim_count, round(outstanding_balance, 2) AS outstanding_balance
+FROM trend_aging"""
+    ),
+)
+def _(spark, sf_dir):
+    """Aging kept by the stream equals the aging trend of all rows."""
+    aging = refresh.read_aging(spark, _streamed_store(spark, sf_dir))
+    return presented(
+        aging.select(
+            "snapshot_date", "snapshot_label", "sheet_name", "aging_bucket", "claim_count",
+            "outstanding_balance",
+        )
+    )
+
+
+# --- snapshot folders: files of one sheet that differ ------------------------------------------
+
+_FILES_SQL = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Notes' ELSE '2026-05-04' END AS sheet_name,
+  CAST(o_orderkey AS STRING) AS claim_id, concat('say "', o_orderstatus, '", ok, ', o_orderpriority) AS status,
+  CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_custkey AS STRING) END AS cust_id FROM orders"""
+
+
+def _folder(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+    """A dated and an undated sheet of two files each, with other column orders, names, types
+    and, in the second, one column more."""
+    root = _scratch(spark, f"folder-{fmt}")
+    orders = table(spark, sf_dir, "orders")
+    status = F.concat(
+        F.lit('say "'), "o_orderstatus", F.lit('", ok, '), "o_orderpriority"
+    ).alias("Status")
+    claim = F.col("o_orderkey")
+    for sheet, rows in (("Notes", orders.where("o_orderkey % 3 = 0")), ("2026-05-04", orders.where("o_orderkey % 3 <> 0"))):
+        first = rows.where("o_orderkey % 2 = 0").select(claim.alias("Claim ID"), status)
+        second = rows.where("o_orderkey % 2 = 1").select(
+            status, F.col("o_custkey").cast("string").alias("Cust - Id"), claim.cast("string").alias("claim_id")
+        )
+        for part, data in (("a", first), ("b", second)):
+            if fmt == "csv":
+                reports.write_report(data, f"{root}/{sheet}/{part}")
+            else:
+                data.write.format(fmt).save(f"{root}/{sheet}/{part}")
+    return root
+
+
+def _read_folder(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    rows = sheets.read_snapshots(spark, _folder(spark, sf_dir, fmt), fmt, glob="part-*")
+    return rows.select("sheet_name", "claim_id", "status", "cust_id")
+
+
+@register("read_snapshots_csv", _FILES_SQL)
+def _(spark, sf_dir):
+    return _read_folder(spark, sf_dir, "csv")
+
+
+@register("read_snapshots_json", _FILES_SQL)
+def _(spark, sf_dir):
+    return _read_folder(spark, sf_dir, "json")
+
+
+@register("read_snapshots_mixed", _FILES_SQL)
+def _(spark, sf_dir):
+    """Parquet files of one sheet with differing types."""
+    return _read_folder(spark, sf_dir, "parquet")
+
+
+@register(
+    "write_report_collection",
+    sql.claims_query(
+        "SELECT report_worked_by AS worked_by, round(sum(recovered), 2) AS recovered_amount "
+        "FROM priced GROUP BY report_worked_by"
+    ),
+)
+def _(spark, sf_dir):
+    """A collection table exported as CSV and read back as a snapshot folder."""
+    path = _scratch(spark, "collection")
+    reports.write_report(metrics.employee_collection(claims(spark, sf_dir)), f"{path}/2026-05-04")
+    rows = sheets.read_snapshots(spark, path, glob="part-*")
+    return presented(rows.select("worked_by", F.col("recovered_amount").cast("double")))
+
+
+# --- dates ---------------------------------------------------------------------------------
+
+_STYLES = (
+    "M/d/yyyy h:mm a", "d-MMM-yyyy", "d-MMM-yy", "M.d.yyyy", "yyyy.MM.dd", "EEE, MMM d, yyyy",
+    "MMMM d, yyyy", "yyyy-MM-dd h:mm a",
+)
+
+
+@register(
+    "clean_claims_dates",
+    "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders",
+)
+def _(spark, sf_dir):
+    """Order dates written in eight spellings and read again."""
+    from arledger.functions.cells import parse_date
+
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d")
+    )
+    text = F.lit(None).cast("string")
+    for i, style in enumerate(_STYLES):
+        text = F.when(F.col("o_orderkey") % len(_STYLES) == i, F.date_format("d", style)).otherwise(text)
+    written = orders.select("o_orderkey", text.alias("text"))
+    return presented(written.select("o_orderkey", F.to_date(parse_date(F.col("text"))).alias("day")))
+
+
+# --- ties and missing weeks --------------------------------------------------------------------
+
+
+@register(
+    "snapshot_deltas_tied",
+    sql.claims_query(
+        "SELECT 'total_claims' AS metric, CAST(count(*) FILTER (WHERE sheet_pos = 1) AS DOUBLE) AS begin_value, "
+        "CAST(count(*) FILTER (WHERE sheet_pos = 2) AS DOUBLE) AS end_value FROM "
+        "(SELECT DISTINCT * EXCLUDE (row_pos) FROM claims)"
+    ),
+)
+def _(spark, sf_dir):
+    """Two sheets of one date: their order in the workbook decides which is first, although
+    their names sort the other way."""
+    raw = trend_rows(spark, sf_dir).where("sheet_pos IN (1, 2)")
+    name = F.when(F.col("sheet_pos") == 1, "5/4/2026").otherwise("2026-05-04")
+    tied = trend.snapshot_summary(raw.withColumn("sheet_name", name), positions=True)
+    deltas = trend.snapshot_deltas(tied).where("metric = 'total_claims'")
+    return presented(deltas.select("metric", "begin_value", "end_value"))
+
+
+@register(
+    "net_improvement_incomplete",
+    sql.trend_query("SELECT count(*) AS n FROM trend WHERE total_claims < 0"),
+)
+def _(spark, sf_dir):
+    """With a week missing there is no result."""
+    short = summary(spark, sf_dir).where("snapshot_label <> '2026-05-11'")
+    return trend.net_improvement(short).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the dashboard as one landed build ----------------------------------------------------------
+
+
+def board(spark: SparkSession, sf_dir: str):
+    return dashboard(claims_raw(spark, sf_dir), path=_scratch(spark, "board"))
+
+
+_BOARD_FOLLOW = sql.FOLLOW.replace("FROM priced", "FROM filtered")
+
+_BOARD = {
+    "filter_options": REGISTRY["filter_options"][1],
+    "date_bounds": REGISTRY["date_bounds"][1],
+    "cards": REGISTRY["dashboard_cards"][1],
+    "topline": sql.claims_query(sql.topline("cur_filtered")),
+    "aging_summary": sql.claims_query(sql.aging_summary("cur_filtered")),
+    "collection_summary": sql.claims_query(
+        f"SELECT {sql.SORTED_BUCKET} AS aging_bucket, round(sum(recovered), 2) AS recovered_amount, "
+        "round(sum(claim_balance), 2) AS outstanding_balance, "
+        "round(coalesce(sum(recovered) / nullif(sum(claim_balance), 0), 0) * 100, 4) AS recovery_percentage "
+        "FROM cur_filtered GROUP BY bucket"
+    ),
+    "claims_done": sql.claims_query(
+        f"SELECT {sql.SORTED_BUCKET} AS aging_bucket, count(*) FILTER (WHERE claim_balance <= 0) AS done_count, "
+        "round(sum(recovered), 2) AS recovered_amount FROM cur_filtered GROUP BY bucket"
+    ),
+    "current_productivity": sql.claims_query(sql.productivity("cur_filtered")),
+    "portfolio_topline": REGISTRY["dashboard_portfolio"][1],
+    "productivity": sql.claims_query(sql.productivity("filtered")),
+    "aging_worked": sql.claims_query(
+        "SELECT report_worked_by AS worked_by, bucket AS aging_bucket, count(*) AS touches "
+        "FROM filtered GROUP BY report_worked_by, bucket"
+    ),
+    "employee_collection": sql.claims_query(
+        "SELECT report_worked_by AS worked_by, round(sum(recovered), 2) AS recovered_amount "
+        "FROM filtered GROUP BY report_worked_by"
+    ),
+    "follow_up_kpis": sql.claims_query(
+        """SELECT count(*) AS claims_worked, count(*) FILTER (WHERE touch_count > 1) AS claims_followed_up,
+  round(count(*) FILTER (WHERE touch_count > 1) * 100.0 / count(*), 4) AS follow_up_rate,
+  round(avg(touch_count) FILTER (WHERE touch_count > 1), 4) AS average_touches,
+  round(sum(recovered_amount) FILTER (WHERE touch_count > 1), 2) AS recovered_amount FROM follow""",
+        _BOARD_FOLLOW,
+    ),
+    "touch_frequency": sql.claims_query(
+        "SELECT concat(CAST(touch_count AS STRING), 'x') AS touch_count, count(*) AS claim_count "
+        "FROM follow GROUP BY follow.touch_count",
+        _BOARD_FOLLOW,
+    ),
+    "registry": sql.claims_query(
+        """SELECT patient_id AS "Patient ID", claim_id AS "Claim ID", plan_name AS "Plan Name",
+  touch_count AS "Total Touches", round(initial_balance, 2) AS "Initial Balance ($)",
+  round(latest_balance, 2) AS "Latest Balance ($)", round(recovered_amount, 2) AS "Recovered Amount ($)",
+  latest_status AS "Latest Status", report_worked_by AS "Last Action By" FROM follow WHERE touch_count > 1""",
+        _BOARD_FOLLOW,
+    ),
+}
+
+
+def _register_board(field: str, restated: str) -> None:
+    @register(f"board_{field}", restated)
+    def _(spark, sf_dir):
+        return presented(getattr(board(spark, sf_dir), field))
+
+
+for _field, _restated in _BOARD.items():
+    _register_board(_field, _restated)
+
+
+@register("board_snapshot_summary", sql.trend_query(_SUMMARY_SQL, "filtered"))
+def _(spark, sf_dir):
+    return presented(board(spark, sf_dir).trend.snapshot_summary)

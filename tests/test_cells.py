@@ -42,6 +42,9 @@ DATES = [
     "May 4, 2026", "September 5, 2026", "Sep 5 2026", "4 May 2026", "2026/05/04",
     "2026-05-11 10:20:30", "2026-05-11T10:20:30", "5/4/2026 14:30", "5/4/2026 14:30:05",
     "2026-13-01", "31/12/2026", "2/30/2026", "2026-5-4", "2026-05", "not a date", "", "May",
+    "5/26/2026 3:15 PM", "2026-05-04 3:15 PM", "4-May-2026", "4-May-26", "5.4.2026", "2026.05.04",
+    "Mon, May 4, 2026", "May 4th, 2026", "Sept 4, 2026", "05/2026", "26-May-2026 10:00",
+    "5/26/2026 10:15:22.5", "5/4/99", "5/4/2026 12:00 am", "tuesday 5 may 2026", "5/26/2026 3PM",
     "Week 2026", "2026-02-30", "2024-02-29", "20261301", None,
 ]
 

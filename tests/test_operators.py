@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from arledger.fixed_values import TREND_DATES
 from arledger.operators import filters, followup, metrics, portfolio, snapshots
 from arledger.operators.cleaning import clean_claims, drop_exact_duplicates
 from arledger.operators.columns import resolve
@@ -258,7 +259,8 @@ def test_snapshot_summary(sample):
     assert deltas["total_claims"] == (-1, pytest.approx(-100 / 3))
     assert deltas["closed_claims"] == (-1, -100)
     assert deltas["claims_worked"] == (0, 0)
-    better = trend.net_improvement(summary).first()
+    assert trend.net_improvement(summary).count() == 0
+    better = trend.net_improvement(summary, TREND_DATES[:2]).first()
     assert (better["claims_reduction"], better["balance_reduction"]) == (1, -91)
     assert filters.target_dates(summary).count() == 2
     weeks = [r["week_label"] for r in filters.week_labels(summary).collect()]
@@ -266,6 +268,16 @@ def test_snapshot_summary(sample):
     assert trend.snapshot_deltas(summary.limit(0)).count() == 0
 
 
+def test_sheets_of_one_date_stand_in_sheet_order(make_claims):
+    raw = make_claims(
+        {"sheet_name": "5/4/2026", "sheet_pos": 0, "claim_id": "a", "claim_balance": "1"},
+        {"sheet_name": "2026-05-04", "sheet_pos": 1, "claim_id": "b", "claim_balance": "5"},
+    )
+    summary = trend.snapshot_summary(clean_claims(raw), positions=True)
+    first = {r["metric"]: r["begin_value"] for r in trend.snapshot_deltas(summary).collect()}
+    assert first["outstanding_balance"] == 1
+
+
 def test_bucket_growth(sample):
     aging = trend.aging_trend(clean_claims(sample, duplicates="keep"), keep_unknown=True)
     got = {(r["sheet_name"], r["aging_bucket"]): r["claim_change"] for r in trend.bucket_growth(aging).collect()}

@@ -87,7 +87,7 @@ def test_missing_and_unreadable(spark, tmp_path, caplog):
         sheets.read_snapshots(spark, str(tmp_path))
     put(tmp_path, "2026-05-04.parquet", "this is no parquet file")
     spark.range(2).write.parquet(str(tmp_path / "2026-05-11"))
-    df = sheets.read_snapshots(spark, str(tmp_path), "parquet", glob="*.parquet")
+    df = sheets.read_snapshots(spark, str(tmp_path), "parquet", glob="*.parquet", on_error="skip")
     assert {r["sheet_name"] for r in df.select("sheet_name").distinct().collect()} == {"2026-05-11"}
 
 
@@ -150,3 +150,53 @@ def test_landed_snapshots_prune(spark, tmp_path, make_claims):
     scan = next(line for line in plan.splitlines() if "claim_balance" in line and "FileScan" in line)
     assert "PartitionFilters: [isnotnull(sheet_name" in scan
     assert "patient_id" not in scan
+
+
+def test_files_of_one_sheet_by_their_own_headers(spark, tmp_path):
+    put(tmp_path, "2026-05-04/a.csv", "Claim ID,Balance\nc1,1\n")
+    put(tmp_path, "2026-05-04/b.csv", "Balance,Claim ID,Status\n2,c2,open\n")
+    got = sheets.read_snapshots(spark, str(tmp_path)).select("claim_id", "balance", "status")
+    assert {tuple(r) for r in got.collect()} == {("c1", "1", None), ("c2", "2", "open")}
+
+
+def test_cells_beyond_the_header_and_quotes(spark, tmp_path):
+    put(tmp_path, "2026-05-04.csv", 'Plan,Balance\n"say ""x"", ok",1\nshort\nlong,2,3,"4, four"\n')
+    df = sheets.read_snapshots(spark, str(tmp_path))
+    got = {tuple(r) for r in df.select("plan", "balance", "column_2", "column_3").collect()}
+    assert got == {('say "x", ok', "1", None, None), ("short", None, None, None), ("long", "2", "3", "4, four")}
+    narrow = sheets.read_snapshots(spark, str(tmp_path), widen=False)
+    assert "column_2" not in narrow.columns and narrow.count() == 3
+
+
+def test_parquet_files_of_differing_types_and_columns(spark, tmp_path):
+    spark.createDataFrame([("c1", 1)], "claim_id string, balance int").write.parquet(str(tmp_path / "2026-05-04" / "a"))
+    more = spark.createDataFrame([("c2", "2", "open")], "claim_id string, balance string, status string")
+    more.write.parquet(str(tmp_path / "2026-05-04" / "b"))
+    got = sheets.read_snapshots(spark, str(tmp_path), "parquet", glob="part-*")
+    rows = {tuple(r) for r in got.select("claim_id", "balance", "status").collect()}
+    assert rows == {("c1", "1", None), ("c2", "2", "open")}
+
+
+def test_damaged_files_are_errors(spark, tmp_path):
+    import gzip
+
+    data = gzip.compress(("n,m\n" + "".join(f"{i},{i * 7919 % 10007}\n" for i in range(200_000))).encode())
+    (tmp_path / "2026-05-04.csv.gz").write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception):  # noqa: B017 - the engine's own error
+        sheets.read_snapshots(spark, str(tmp_path)).count()
+    other = tmp_path / "pq"
+    put(other, "2026-05-11.parquet", "no parquet at all")
+    spark.range(3).write.parquet(str(other / "2026-05-04"))
+    with pytest.raises(ValueError, match="cannot be read"):
+        sheets.read_snapshots(spark, str(other), "parquet", glob="*.parquet")
+    kept = sheets.read_snapshots(spark, str(other), "parquet", glob="*.parquet", on_error="skip")
+    assert kept.count() == 3
+    bad = sheets.rejected_files(spark, str(other), "parquet", glob="*.parquet").collect()
+    assert [r["sheet_name"] for r in bad] == ["2026-05-11"]
+
+
+def test_report_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([('say "x", ok', 1), ("a\\b", 2)], "plan string, n long")
+    reports.write_report(rows, str(tmp_path / "2026-05-04"))
+    got = sheets.read_snapshots(spark, str(tmp_path), glob="part-*").select("plan", "n")
+    assert {tuple(r) for r in got.collect()} == {('say "x", ok', "1"), ("a\\b", "2")}
