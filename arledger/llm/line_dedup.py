@@ -29,6 +29,7 @@ from arledger.llm.common import narrowed, stored
 #: Shorter lines are headings, list marks and brackets: one edit is no sign of a copy there.
 MIN_CHARS = 20
 _SEGMENT = 64
+_SHORT_SEGMENT = 16
 _LINE = ("h1", "h2")
 _PLACE = ("doc_id", "dk", "line_no")
 
@@ -127,17 +128,30 @@ def _segments(lines: DataFrame) -> DataFrame:
     leaves a segment one shorter, as a line that lost a character has it. Only segments whose
     rest another line has as well are kept. A line of one segment has no rest and stays.
     """
+    n = F.char_length("line")
+    # Short lines have short segments. A line of the border length is cut both ways, to meet
+    # lines one shorter and one longer.
+    sizes = F.array_compact(
+        F.array(
+            F.when(n <= _SEGMENT, F.lit(_SHORT_SEGMENT)), F.when(n >= _SEGMENT, F.lit(_SEGMENT))
+        )
+    )
     # A line whose length is a multiple of the segment has a last, empty segment: there a
     # longer line may have its last character.
-    count = F.floor(F.char_length("line") / _SEGMENT).cast("int")
-    from_ = F.col("g") * _SEGMENT
-    before = F.xxhash64("g", F.left("line", from_))
-    cut = lines.withColumn("g", F.explode(F.sequence(F.lit(0), count))).select(
-        "id",
-        F.substr("line", from_ + 1, F.lit(_SEGMENT)).alias("part"),
-        F.xxhash64(before, F.substr("line", from_ + _SEGMENT + 1)).alias("around"),
-        F.xxhash64(before, F.substr("line", from_ + _SEGMENT)).alias("around_own"),
-        (F.char_length("line") < _SEGMENT).alias("single"),
+    size = F.col("size")
+    from_ = F.col("g") * size
+    before = F.xxhash64("size", "g", F.left("line", from_))
+    cut = (
+        lines.withColumn("size", F.explode(sizes))
+        .withColumn("g", F.explode(F.sequence(F.lit(0), F.floor(n / size).cast("int"))))
+        .select(
+            "id",
+            F.substr("line", from_ + 1, size).alias("part"),
+            F.xxhash64(before, F.substr("line", from_ + size + 1)).alias("around"),
+            F.xxhash64(before, F.substr("line", from_ + size)).alias("around_own"),
+            (n < size).alias("single"),
+            "size",
+        )
     )
     cut = stored(cut)
     rests = cut.where(~F.col("single")).select(
@@ -149,9 +163,10 @@ def _segments(lines: DataFrame) -> DataFrame:
         .where(F.col("low") != F.col("high"))
         .select("rest")
     )
-    passed = rests.join(shared, "rest", "left_semi").select("id").distinct()
+    passed = rests.join(shared, "rest", "left_semi").distinct().withColumnRenamed("id", "p_id")
+    has_rest = (F.col("id") == F.col("p_id")) & F.col("rest").isin(F.col("around"), F.col("around_own"))
     return cut.where("single").unionByName(
-        cut.where(~F.col("single")).join(passed, "id", "left_semi")
+        cut.where(~F.col("single")).join(passed, has_rest, "left_semi")
     )
 
 
@@ -173,7 +188,7 @@ def deletion_keys(lines: DataFrame) -> DataFrame:
     own = cut.select(
         "id",
         F.lit(2).cast("byte").alias("role"),
-        F.xxhash64("around_own", F.left("part", F.lit(_SEGMENT - 1))).alias("key"),
+        F.xxhash64("around_own", F.left("part", F.col("size") - 1)).alias("key"),
     )
     return (
         string.select("id", F.explode(F.array(placed, any_place)).alias("k"))
