@@ -73,7 +73,9 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _first_places(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE)).alias("place"))
+    return occurrences.groupBy(*_LINE).agg(
+        F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("times")
+    )
 
 
 def _sharing(occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -269,8 +271,13 @@ def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
     occurrences = stored(line_occurrences(docs, min_chars))
     firsts = stored(_first_places(occurrences))
     near = near_lines(docs, occurrences, firsts).withColumn("near", F.lit(True))
-    # Only lines that lose an occurrence meet the occurrences.
-    lines = firsts.select(*_LINE, "place").join(near, list(_LINE), "left")
+    # Only lines that lose an occurrence meet the occurrences, from a table of their own, so
+    # that the join can split a frequent line's rows.
+    lines = stored(
+        firsts.join(near, list(_LINE), "left")
+        .where(F.col("near") | (F.col("times") > 1))
+        .select(*_LINE, "place", "near")
+    )
     return (
         occurrences.select(*_PLACE, *_LINE)
         .join(lines, list(_LINE))

@@ -105,7 +105,8 @@ def _anchors(texts: DataFrame) -> DataFrame:
 def _neighbourhoods(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """The bytes around each anchor that occurs twice: (g, t, pos, before, bytes)."""
     occurrence = F.xxhash64("t", "pos")
-    twice = (
+    # In a table of its own, so that the join below can split a frequent anchor's rows.
+    twice = stored(
         anchors.groupBy("g")
         .agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"))
         .where("a <> b")
@@ -390,7 +391,7 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _removed(data: bytes, copies: int, ranges: list | None) -> list[tuple[int, int]]:
     if copies > 1 and len(data) >= LENGTH:
         return [(0, len(data))]
-    return _union([(r["start"], r["end"]) for r in ranges or ()])
+    return _union([(r["start"], r["end"]) for r in (() if ranges is None else ranges)])
 
 
 def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
