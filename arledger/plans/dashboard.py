@@ -88,20 +88,20 @@ def dashboard(
 
     ``sheets`` (``sources.snapshots.list_sheets``) also knows sheets without rows; by
     default the sheets are those that have rows. With ``path``, a folder all executors
-    reach, the cleaned rows and the filtered ones are landed there once, and every table
-    reads its columns and partitions from them instead of starting from ``raw``.
+    reach, ``raw`` is scanned once: the cleaned rows, the filtered ones and the sheet list
+    are landed there, and every table reads its columns and partitions from them.
     """
-    if sheets is None:
-        known = sheet_list(raw)
-    else:
-        known = dated(sheets).select("sheet_name", "sheet_pos", "snapshot_date").distinct()
+    given = None
+    if sheets is not None:
+        given = dated(sheets).select("sheet_name", "sheet_pos", "snapshot_date").distinct()
     if path is None:
+        known = sheet_list(raw) if given is None else given
         return dashboard_tables(clean_claims(dated(raw)), filtered_claims(raw, spec), known)
     cleaned = materialize(clean_claims(dated(raw)), f"{path}/cleaned")
-    if spec is not None:
-        chosen = apply_filters(cleaned, spec)
-    else:
-        chosen = default_filters(cleaned)
+    known = sheet_list(cleaned) if given is None else given
+    known.write.mode("overwrite").parquet(f"{path}/sheets")
+    known = raw.sparkSession.read.schema(known.schema).parquet(f"{path}/sheets")
+    chosen = default_filters(cleaned) if spec is None else apply_filters(cleaned, spec)
     return dashboard_tables(cleaned, materialize(chosen, f"{path}/filtered"), known)
 
 

@@ -180,6 +180,18 @@ def refresh_snapshots(
         cube.unpersist()
 
 
+def refresh_landed(
+    spark: SparkSession,
+    store: str,
+    columns: Sequence[str],
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Compute the trend rows of all landed sheets, each once. Only sheet names, which are
+    partition values, come to the driver."""
+    names = read_raw(spark, store, columns).select("sheet_name").distinct().collect()
+    refresh_snapshots(spark, store, columns, sorted(r["sheet_name"] for r in names), keep)
+
+
 def refresh_metrics(
     stream: DataFrame,
     store: str,
@@ -187,10 +199,14 @@ def refresh_metrics(
     keep: Callable[[DataFrame], DataFrame] | None = None,
     every: str | None = "30 minutes",
     checkpoint: str | None = None,
+    land_only: bool = False,
 ) -> StreamingQuery:
     """Start the refresh of ``store`` (a folder all executors reach) from a stream of
     snapshot rows. ``every=None`` takes in what is there and stops.
 
+    A batch rereads all that has landed for its sheets. A first load of many files should
+    therefore run with ``land_only`` and be followed by one ``refresh_landed``.
+
     The checkpoint belongs to the store: with a new one, batches would be numbered from
     zero again and replace earlier ones.
     """
@@ -198,7 +214,7 @@ def refresh_metrics(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         touched = _land_batch(batch, batch_id, store)
-        if touched:
+        if touched and not land_only:
             refresh_snapshots(batch.sparkSession, store, columns, touched, keep)
 
     writer = stream.writeStream.foreachBatch(on_batch).option(

@@ -285,6 +285,22 @@ def test_bucket_growth(sample):
     assert len(got) == 5
 
 
+def test_landed_dashboard(spark, sample, tmp_path):
+    sheets = spark.createDataFrame(
+        [("5/4/2026", 0), ("2026-05-11", 1), ("2026-05-18", 2)], "sheet_name string, sheet_pos int"
+    )
+    board = dashboard.dashboard(sample, path=str(tmp_path / "board"))
+    assert tuple(board.cards.first()) == tuple(dashboard.dashboard(sample).cards.first())
+    plan = board.cards._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sheet_name" in plan or "sheet_name#" in plan.split("PartitionFilters")[1]
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan  # nothing starts from the raw rows
+    # A sheet that has a header alone is the newest one, with zeros.
+    known = dashboard.dashboard(sample, sheets=snapshots.tag_snapshots(sheets), path=str(tmp_path / "known"))
+    assert known.cards.first()["total_claims"] == 0
+    totals = [r["total_claims"] for r in dashboard.dashboard(sample).trend.snapshot_summary.collect()]
+    assert [r["total_claims"] for r in known.trend.snapshot_summary.collect()] == [*totals, 0]
+
+
 def test_dashboard(sample):
     board = dashboard.dashboard(sample)
     assert tuple(board.cards.first()) == (2, 2, 0, 200.0, 20.0, 2)

@@ -20,7 +20,9 @@ DEFAULT = (
     "landed_topline apply_filters_combined filter_options aging_summary employee_productivity "
     "collection_summary money_texts topline_portfolio snapshot_summary_filtered aging_trend "
     "bucket_growth delta_cards progression_series follow_up_stats follow_up_registry "
-    "follow_up_by_bucket follow_up_by_employee dashboard_cards stream_snapshot_summary"
+    "follow_up_by_bucket follow_up_by_employee dashboard_cards stream_snapshot_summary "
+    "stream_aging_trend read_snapshots_csv read_snapshots_json read_snapshots_mixed clean_claims_dates "
+    "write_report_collection snapshot_deltas_tied net_improvement_incomplete board_cards board_registry"
 ).split()
 NAMES = list(REGISTRY) if os.environ.get("ALL_QUERIES") else DEFAULT
 

@@ -91,3 +91,28 @@ def test_filter_that_empties_a_sheet(spark, tmp_path):
 def test_bounds(spark, tmp_path):
     with pytest.raises(ValueError):
         refresh.stream_snapshots(spark, str(tmp_path), COLUMNS, max_files=0)
+
+
+def test_first_load_in_one_refresh(spark, tmp_path):
+    """Several batches of one sheet, landed first and computed once."""
+    source, store = tmp_path / "in", tmp_path / "store"
+    for i in range(3):
+        put(source, "2026-05-04", f"{i}.csv", f"p{i},c{i},ann,10,{i},0-30", "p9,c9,bob,5,5,60 plus")
+    stream = refresh.stream_snapshots(spark, str(source), COLUMNS, max_files=1)
+    refresh.refresh_metrics(stream, str(store), every=None, land_only=True).awaitTermination()
+    names = ["patient_id", "claim_id", "report_worked_by", "claim_amount", "claim_balance", "claim_balance_aging"]
+    refresh.refresh_landed(spark, str(store), names)
+    assert [r[3] for r in compare(spark, source, store)] == [4]
+
+
+def test_emptied_sheet_leaves_no_old_aging(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    put(source, "2026-05-04", "a.csv", 'p1,"c ""1""",ann,10,5,0-30')
+    run(spark, source, store)
+    assert refresh.read_aging(spark, str(store)).count() == 1
+    names = ["patient_id", "claim_id", "report_worked_by", "claim_amount", "claim_balance", "claim_balance_aging"]
+    refresh.refresh_landed(spark, str(store), names, keep=lambda df: df.filter("claim_balance > 100"))
+    assert refresh.read_aging(spark, str(store)).count() == 0
+    row = refresh.read_summary(spark, str(store)).first()
+    assert row["total_claims"] == 0
+    assert refresh.read_raw(spark, str(store), names).first()["claim_id"] == 'c "1"'
