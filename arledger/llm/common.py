@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 #: White space that separates words: the space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +47,3 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Join condition that takes nulls as equal."""
-    condition = F.lit(True)
-    for column in columns:
-        condition = condition & left[column].eqNullSafe(right[column])
-    return condition
