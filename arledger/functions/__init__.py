@@ -1,38 +1 @@
 """Column expressions: header names, cell values, display text."""
-
-from arledger.functions.cells import (
-    blank_to_null,
-    composite_key,
-    money_or_zero,
-    normalize_bucket,
-    number_or_zero,
-    parse_date,
-)
-from arledger.functions.headers import distinct_names, standard_name
-from arledger.functions.text import (
-    count_text,
-    delta_text,
-    money_cents_text,
-    money_millions_text,
-    money_short_text,
-    money_text,
-    touch_label,
-)
-
-__all__ = [
-    "blank_to_null",
-    "composite_key",
-    "count_text",
-    "delta_text",
-    "distinct_names",
-    "money_cents_text",
-    "money_millions_text",
-    "money_or_zero",
-    "money_short_text",
-    "money_text",
-    "normalize_bucket",
-    "number_or_zero",
-    "parse_date",
-    "standard_name",
-    "touch_label",
-]

@@ -111,8 +111,8 @@ def parse_date(text: Column) -> Column:
     """Timestamp of a date written in any of the known styles; null when none fits. Where
     day and month could be swapped, the month comes first."""
     text = F.btrim(text.cast("string"), F.lit(_EDGE_CHARS))
-    # Only ISO text goes to the cast; whatever it rejects is tried as another style.
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}(-\d{1,2}.*)?$"), text.try_cast("timestamp"))
+    # Whatever the cast rejects is tried as another style.
+    iso = F.when(F.substring(text, 5, 1) == "-", text.try_cast("timestamp"))
     return F.coalesce(iso, _once(text, _other_date))
 
 

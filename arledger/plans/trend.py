@@ -14,7 +14,7 @@ from arledger.functions.text import count_text, delta_text, money_cents_text, mo
 from arledger.operators.cleaning import drop_exact_duplicates
 from arledger.operators.columns import SHEET_KEYS
 from arledger.operators.filters import target_dates, week_labels
-from arledger.operators.measures import MEASURES, condense, need, total
+from arledger.operators.measures import MEASURES, condense, need
 from arledger.operators.metrics import aging_table, bucket_rank
 from arledger.operators.snapshots import (
     date_grouped,
