@@ -33,9 +33,9 @@ from arledger.llm.byte_text import BYTE_VALUE, IS_LETTER, LOWER, Chunk, Rolling,
 from arledger.llm.common import narrowed
 
 #: Bounds on the labelled documents, toxic and clean, that lexicon and classifier are fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 7500
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
 #: Word beginnings, in bytes, besides whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5)
 _ENTRIES = 1500
 _LEAST_PRECISION = 0.95
 _LEAST_DOCUMENTS = 4
@@ -122,7 +122,8 @@ def _sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tuple[
         .orderBy("toxic", F.xxhash64("features"), "features")
         .toArrow()
     )
-    features = [np.frombuffer(x, dtype=np.uint64) for x in got.column("features").to_pylist()]
+    # Views into the table that came, not copies.
+    features = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("features")]
     return features, np.array(got.column("toxic").to_pylist(), dtype=np.float64)
 
 
@@ -133,13 +134,19 @@ def _lexicon(features: list[np.ndarray], toxic: np.ndarray, entries: int) -> np.
     Chernoff's inequality; the Benjamini-Hochberg rule keeps false entries under five in a
     hundred however many features are tried.
     """
-    kept = [x for x in features if len(x)]
-    if not kept or not toxic.any():
+    bad_docs = [x for x, t in zip(features, toxic) if t and len(x)]
+    if not bad_docs:
         return np.zeros(0, np.uint64)
-    size = np.array([len(x) for x in features])
-    names, at = np.unique(np.concatenate(features), return_inverse=True)
-    of = np.bincount(at, minlength=len(names))
-    bad = np.bincount(at, weights=np.repeat(toxic, size), minlength=len(names))
+    names, bad = np.unique(np.concatenate(bad_docs), return_counts=True)
+    tried = len(names)
+    # A feature of a single toxic document cannot pass; the others are counted everywhere,
+    # a document at a time.
+    names, bad = names[bad > 1], bad[bad > 1].astype(np.float64)
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    of = np.zeros(len(names))
+    for found in features:
+        of[_places(found, names)] += 1
     usual = float(np.clip(toxic.mean(), 1e-3, 0.999))
     share = bad / of
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -147,7 +154,6 @@ def _lexicon(features: list[np.ndarray], toxic: np.ndarray, entries: int) -> np.
         surplus += np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0.0)
     log_chance = np.where((share > usual) & (of >= _LEAST_DOCUMENTS), -of * surplus, 0.0)
     order = np.argsort(log_chance, kind="stable")
-    tried = max(1, int((of >= _LEAST_DOCUMENTS).sum()))
     limit = np.log(0.05 * np.minimum(1, np.arange(1, len(names) + 1) / tried))
     passed = np.flatnonzero(log_chance[order] <= limit)
     best = order[: passed[-1] + 1 if len(passed) else 0]
@@ -155,13 +161,17 @@ def _lexicon(features: list[np.ndarray], toxic: np.ndarray, entries: int) -> np.
     return np.sort(names[best[share[best] >= _LEAST_PRECISION][:entries]])
 
 
+def _places(found: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Places in ``names`` (in rising order) of the features that are among them."""
+    at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+    return at[names[at] == found]
+
+
 def _presence(features: list[np.ndarray], entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, entry) pairs."""
-    docs = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    found = np.concatenate(features) if features else np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(entries, found), len(entries) - 1)
-    hit = entries[at] == found
-    return docs[hit], at[hit]
+    at = [_places(found, entries) for found in features]
+    docs = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    return docs, np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
 def _votes(n: int, docs: np.ndarray, at: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -245,6 +255,8 @@ def fit_toxicity(
     votes = _votes(len(features), at_doc, at_entry, entries)
     posterior = label_model(votes, toxic)
     weights, bias = _fit_linear(len(features), at_doc, at_entry, len(entries), posterior)
+    del features
+    pa.default_memory_pool().release_unused()  # the driver goes on without the sample
     return ToxicityModel(entries, weights, bias)
 
 
