@@ -38,8 +38,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_line_dedup": (_over_documents(line_dedup_digest), sql.LINE_DEDUP),
     "op2_toxicity": (_toxicity, None),
     "op3_mix_sources": (_over_documents(mix_sources), None),
-    "op4_ngram_join": (_over_documents(ngram_components), None),
-    "op5_quality_rules": (_over_documents(quality_digest), None),
+    "op4_ngram_join": (_over_documents(ngram_components), sql.NGRAM_JOIN),
+    "op5_quality_rules": (_over_documents(quality_digest), sql.QUALITY),
     "op6_pii": (_over_documents(pii_digest), None),
     "op7_packing": (_over_documents(pack_documents), None),
     "op8_topk": (_topk, sql.TOP_K),
