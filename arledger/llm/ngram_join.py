@@ -70,7 +70,7 @@ def _shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted shingle hashes) of each row."""
-    for chunk in chunks(column):
+    for chunk in chunks(column, 1 << 19):
         rows, hashes = _shingles(chunk)
         ends = np.searchsorted(rows, np.arange(len(chunk) + 1))
         for i in range(len(chunk)):
@@ -135,7 +135,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        for batch in batches:
+        # Some rows at a time: lists of arrays take more room than the columns they become.
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             size, k1, k2, prefixes, parts = [], [], [], [], []
             for _, hashes in _sets(batch.column(1)):
                 n = len(hashes)
