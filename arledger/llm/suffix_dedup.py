@@ -4,7 +4,7 @@ Every string of ``LENGTH`` bytes holds one chosen anchor: the leftmost smallest
 substrings of ``_GRAM`` bytes. Equal strings have equal anchors at equal places, so
 
 1. anchors of all texts are counted, and only those that occur twice go on (equal texts count
-   once here; all of a text that has a copy is repeated anyway);
+   once here and are cut once; all of a text that has a copy is repeated anyway);
 2. the neighbourhood of each such anchor, all strings that belong to it, is cut out, and equal
    neighbourhoods become one;
 3. neighbourhoods are dealt out by anchor. A bucket's neighbourhoods form a few shards. Each
@@ -78,9 +78,11 @@ def anchors_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
-    """(g, t, pos, low, high) of all texts of at least ``LENGTH`` bytes."""
+    """(g, t, pos, low, high) of all texts of at least ``LENGTH`` bytes. Each task gives the
+    anchors of equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
@@ -88,10 +90,12 @@ def _anchors(texts: DataFrame) -> DataFrame:
                 grams = Rolling(chunk.data).of_length(_GRAM) if len(chunk.data) >= _GRAM else None
                 for i in range(len(chunk)):
                     low, high = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
-                    if high - low >= LENGTH:
+                    text = int(ids[chunk.first + i])
+                    if high - low >= LENGTH and text not in seen:
+                        seen.add(text)
                         own = grams[low : high - _GRAM + 1]
                         pos, first, last = anchors_of(own)
-                        t = np.full(len(pos), ids[chunk.first + i], dtype=np.int64)
+                        t = np.full(len(pos), text, dtype=np.int64)
                         found.append((own[pos].astype(np.int64), t, pos, first, last))
                 if found:
                     columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
@@ -112,17 +116,23 @@ def _neighbourhoods(texts: DataFrame, anchors: DataFrame) -> DataFrame:
         .where("a <> b")
         .select("g")
     )
+    # A set, so that the list of a text that has copies is bounded by the text.
     per_text = (
         anchors.join(twice, "g", "left_semi")
         .groupBy("t")
-        .agg(F.collect_list(F.struct("g", "pos", "low", "high")).alias("found"))
+        .agg(F.collect_set(F.struct("g", "pos", "low", "high")).alias("found"))
     )
     one_of_each = texts.groupBy("t").agg(F.min("doc_id").alias("rep"))
     wanted = per_text.join(one_of_each, "t").withColumnRenamed("t", "w_t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for t, text, found in zip(*(batch.column(i) for i in range(3))):
+                # Repeated rows share id and text.
+                if t.as_py() in seen:
+                    continue
+                seen.add(t.as_py())
                 data = text.as_py().encode()
                 rows = found.as_py()
                 yield pa.RecordBatch.from_arrays(

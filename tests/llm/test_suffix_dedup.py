@@ -76,3 +76,16 @@ def test_frames(documents):
     rows = sorted(out.collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in rows] == ["start ", " end", None, None]
     assert suffix_dedup.repeats_digest(frame.where("1 = 0")).count() == 0
+
+
+def test_copies_are_cut_once(documents):
+    """Copies, and repeated rows, that share a passage with another text."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    passage = word(1500)
+    copied = word(300) + passage
+    texts = [copied, copied, copied, passage + word(200), (0, copied), (0, copied)]
+    rows = suffix_dedup._texts(documents(*texts)).coalesce(2).localCheckpoint()
+    near = suffix_dedup._neighbourhoods(rows, suffix_dedup._anchors(rows))
+    places = near.groupBy("t", "pos").count().collect()
+    assert places and {r["count"] for r in places} == {1}
