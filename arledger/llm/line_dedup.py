@@ -13,8 +13,9 @@ Both are found by grouping on the hashed key with the earliest line as an aggreg
 frequent line or a large group of near copies sends one row per line and key, never pairs. An
 edit distance check on the texts follows.
 
-Defined cases: lines shorter than ``min_chars`` (blank ones too) always stay; a null text stays
-null; a document whose lines all go becomes an empty text, or is left out on request; rows
+Defined cases: lines shorter than ``min_chars`` stay, or, with ``short_copies``, go if they equal
+an earlier line; blank lines always stay; a null text stays null; a document that loses all its
+lines becomes an empty text; one that loses all but blank lines is left out on request; rows
 with equal doc_id and text count as one document and share its result; a null doc_id sorts
 first; an empty table gives an empty result; other columns pass through.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arledger.llm.common import narrowed, stored
+from arledger.llm.common import SPACE, narrowed, stored
 
 #: Shorter lines are headings, list marks and brackets: one edit is no sign of a copy there.
 MIN_CHARS = 20
@@ -57,9 +58,20 @@ def _ends(line: Column, n: Column) -> Column:
     return F.when(n % 8 == 0, F.array(*keys(size), *keys(size - 4))).otherwise(F.array(*keys(size)))
 
 
-def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of at least ``min_chars`` characters, without its text."""
+def _has_word(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE, "") != ""
+
+
+def line_occurrences(
+    docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False
+) -> DataFrame:
+    """One row per line of at least ``min_chars`` characters, without its text.
+
+    ``short_copies`` adds shorter lines with a word. They have no ends, and so no near lines."""
     rows = narrowed(docs, "doc_id", "text")
+    long = F.col("n") >= min_chars
+    taken = long | _has_word(F.col("line")) if short_copies else long
+    ends = F.when(long, _ends(F.col("line"), F.col("n")))
     return (
         rows.select(
             "doc_id",
@@ -67,8 +79,8 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
         )
         .withColumn("n", F.char_length("line"))
-        .where(F.col("n") >= min_chars)
-        .select(*_PLACE, *_line_id(F.col("line")), _ends(F.col("line"), F.col("n")).alias("ends"))
+        .where(taken)
+        .select(*_PLACE, *_line_id(F.col("line")), ends.alias("ends"))
     )
 
 
@@ -266,9 +278,9 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> Da
     )
 
 
-def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
+def _dropped(docs: DataFrame, min_chars: int, short_copies: bool) -> DataFrame:
     """Dropped line numbers per document: (d_id, d_dk, drops)."""
-    occurrences = stored(line_occurrences(docs, min_chars))
+    occurrences = stored(line_occurrences(docs, min_chars, short_copies))
     firsts = stored(_first_places(occurrences))
     near = near_lines(docs, occurrences, firsts).withColumn("near", F.lit(True))
     # Only lines that lose an occurrence meet the occurrences, from a table of their own, so
@@ -287,11 +299,13 @@ def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, list[str]]:
+def _judged(
+    docs: DataFrame, min_chars: int, short_copies: bool = False
+) -> tuple[DataFrame, list[str]]:
     columns = [f"__c{i}" for i in range(len(docs.columns))]
     text = columns[docs.columns.index("text")]
     doc_id = columns[docs.columns.index("doc_id")]
-    drops = _dropped(docs, min_chars)
+    drops = _dropped(docs, min_chars, short_copies)
     rows = docs.toDF(*columns)
     met = F.col(doc_id).eqNullSafe(F.col("d_id")) & (F.xxhash64(text) == F.col("d_dk"))
     joined = (
@@ -308,14 +322,18 @@ def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, list[str]]:
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool = False
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    drop_emptied: bool = False,
+    short_copies: bool = False,
 ) -> DataFrame:
     """The documents without repeated lines, in the columns of ``docs``. ``n_chars`` follows
-    the text where the column exists. ``drop_emptied`` leaves out documents of which no line
-    stays."""
-    judged, columns = _judged(docs, min_chars)
+    the text where the column exists. ``drop_emptied`` leaves out documents that lost lines and
+    have no line with a word left. ``short_copies`` drops exact repeats of lines shorter than
+    ``min_chars`` too."""
+    judged, columns = _judged(docs, min_chars, short_copies)
     if drop_emptied:
-        judged = judged.where((F.col("__out") == 0) | (F.col("__out") < F.col("__n")))
+        judged = judged.where((F.col("__out") == 0) | _has_word(F.col("__text")))
     at = {name: F.col(column) for name, column in zip(docs.columns, columns)}
     at["text"] = F.col("__text")
     if "n_chars" in at:

@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 the last return the columns of ``docs``.
 
 * toxicity: documents that the classifier scores 0.5 or more go.
-* line_dedup: lines that repeat an earlier line go; a document of which no line is left, goes.
+* line_dedup: lines that repeat an earlier line go, short ones if they equal it; a document that is
+  left with no line or blank lines alone, goes.
 * near_copies: of each component of similar documents, the one with the smallest id stays.
 * mixing: documents that the mix does not take go; one that it takes more than once has its
   text that often; one that it takes in part has those words.
@@ -32,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs, drop_emptied=True)
+    return dedup_lines(docs, drop_emptied=True, short_copies=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,18 @@ def test_empty_table_and_long_line(documents):
     long = "abcdefghij " * 20_000
     out = dedup_lines(documents(long, long[:50_000] + "!" + long[50_000:], long + "more than one")).orderBy("doc_id")
     assert [len(r["text"]) for r in out.collect()] == [len(long), 0, len(long) + 13]
+
+
+def test_copies_of_short_lines(spark, documents):
+    import corpus_pipeline
+
+    long = "a line that is long enough to be compared with others"
+    text = f"{long}\nMent que.\n \n\n}}\n"
+    texts = [text, text, f"Ment quf.\n{long}\nMent que.\nown", " \n", f"\t\n{long}x\n}}", None]
+    out = corpus_pipeline.line_dedup(spark, documents(*texts), "").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [
+        (0, text), (2, "Ment quf.\nown"), (3, " \n"), (5, None)
+    ]
+    # Without it, short lines stay.
+    kept = dedup_lines(documents(*texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in kept][1] == "Ment que.\n \n\n}\n"
