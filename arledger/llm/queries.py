@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arledger.llm import sql
 from arledger.llm.common import table
+from arledger.llm.fill_middle import fill_middle_digest
 from arledger.llm.language import language_digest
 from arledger.llm.line_dedup import line_dedup_digest
 from arledger.llm.mixing import mix_sources
@@ -45,4 +46,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_topk": (_topk, sql.TOP_K),
     "op9_suffix_dedup": (_over_documents(repeats_digest), None),
     "op10_language": (_over_documents(language_digest), None),
+    "op11_fill_middle": (_over_documents(fill_middle_digest), sql.FILL_MIDDLE),
 }
