@@ -56,7 +56,7 @@ def duck_rows(connection, text: str) -> tuple[list[str], list[tuple]]:
 
 
 def main(sf_dir: str, names: list[str]) -> int:
-    from checks.queries import REGISTRY
+    from __spark_entry__ import ALL
 
     spark = (
         SparkSession.builder.master("local[8]")
@@ -69,7 +69,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(sf_dir)
     bad = 0
-    for name, (query, text) in REGISTRY.items():
+    for name, (query, text) in ALL.items():
         if names and name not in names:
             continue
         start = time.time()
