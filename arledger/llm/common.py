@@ -41,9 +41,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends there, and a lost
-    executor costs no more than the step at work."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the shared folder, and the table's path: lineage ends
+    there, and a lost executor costs no more than the step at work."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder."""
+    return stored_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``stored_at`` that nothing reads any more."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"{path} is not one of the kept tables")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

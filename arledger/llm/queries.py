@@ -19,6 +19,7 @@ from arledger.llm.quality import quality_digest
 from arledger.llm.suffix_dedup import repeats_digest
 from arledger.llm.topk import top_products
 from arledger.llm.toxicity import toxicity_digest
+from arledger.llm.vector_codes import vector_code_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,10 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def _vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_digest(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_line_dedup": (_over_documents(line_dedup_digest), sql.LINE_DEDUP),
     "op2_toxicity": (_toxicity, None),
@@ -47,4 +52,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op9_suffix_dedup": (_over_documents(repeats_digest), None),
     "op10_language": (_over_documents(language_digest), None),
     "op11_fill_middle": (_over_documents(fill_middle_digest), sql.FILL_MIDDLE),
+    "op12_vector_codes": (_vector_codes, sql.VECTOR_CODES),
 }

@@ -122,3 +122,48 @@ SELECT doc_id, n, form,
   sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebook rounds written out: b0 are the first entries, a0 the parts' entries under b0, ..."""
+    steps = []
+    for k in range(rounds + 1):
+        if k:
+            steps.append(f"""
+b{k} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k - 1} b LEFT JOIN (
+    SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT p, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n
+      FROM a{k - 1}, range(1, 1000) r(i) WHERE i <= len(x) GROUP BY ALL
+    ) GROUP BY p, e
+  ) m USING (p, e)
+)""")
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(label) AS label, p, any_value(x) AS x, min(struct_pack(
+    d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)])::BIGINT, e := e)) AS best
+  FROM parts JOIN b{k} USING (p) GROUP BY row_id, p
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, vec_id, label,
+    [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS MATERIALIZED (
+  SELECT row_id, vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM kept, range({parts}) r(p)
+), b0 AS MATERIALIZED (
+  SELECT p, row_id AS e, x AS c FROM parts WHERE row_id < {entries}
+),{",".join(steps)}, coded AS (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(label) AS label, sum(best.d)::BIGINT AS error,
+    lower(string_agg(printf('%02x', best.e), '' ORDER BY p)) AS code
+  FROM a{rounds} GROUP BY row_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+VECTOR_CODES = _vector_codes()
