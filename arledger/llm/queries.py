@@ -16,6 +16,7 @@ from arledger.llm.ngram_join import ngram_components
 from arledger.llm.packing import pack_documents
 from arledger.llm.pii import pii_digest
 from arledger.llm.quality import quality_digest
+from arledger.llm.quality_model import quality_model_digest
 from arledger.llm.suffix_dedup import repeats_digest
 from arledger.llm.topk import top_products
 from arledger.llm.toxicity import toxicity_digest
@@ -32,6 +33,10 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
@@ -53,4 +58,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op10_language": (_over_documents(language_digest), None),
     "op11_fill_middle": (_over_documents(fill_middle_digest), sql.FILL_MIDDLE),
     "op12_vector_codes": (_vector_codes, sql.VECTOR_CODES),
+    "op13_quality_model": (_quality_model, None),
 }
