@@ -990,6 +990,53 @@ def _(spark, sf_dir):
     return presented(rows.select("worked_by", F.col("recovered_amount").cast("double")))
 
 
+# --- cells with line breaks, broken records --------------------------------------------------
+
+
+@register(
+    "read_snapshots_linebreaks",
+    "SELECT '2026-05-04' AS sheet_name, CAST(o_orderkey AS STRING) AS claim_id, CASE WHEN o_orderkey % 3 = 0 "
+    "THEN concat(o_orderstatus, chr(10), '\"', o_orderpriority, '\", ', chr(13), chr(10), ' end') "
+    "ELSE o_orderpriority END AS note, CAST(o_custkey AS STRING) AS cust_id FROM orders",
+)
+def _(spark, sf_dir):
+    """A table whose cells hold line breaks, quotes and commas, exported as CSV and read again."""
+    root = _scratch(spark, "linebreaks")
+    broken = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('", \r\n end'))
+    note = F.when(F.col("o_orderkey") % 3 == 0, broken).otherwise(F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders")
+    reports.write_report(
+        orders.select(F.col("o_orderkey").alias("Claim ID"), note.alias("Note"), F.col("o_custkey").alias("Cust ID")),
+        f"{root}/2026-05-04",
+    )
+    return sheets.read_snapshots(spark, root, glob="part-*").select("sheet_name", "claim_id", "note", "cust_id")
+
+
+@register(
+    "rejected_rows",
+    """SELECT 'csv' AS fmt, '2026-05-04' AS sheet_name, concat(o_orderkey, ',"', o_orderpriority, ', x"') AS text,
+  '2 of 3 cells' AS reason FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'json', '2026-05-11', concat('{"claim_id": ', o_orderkey, ', "status": "', o_orderstatus), 'no JSON object'
+FROM orders WHERE o_orderkey % 7 = 0""",
+)
+def _(spark, sf_dir):
+    """CSV rows that are too short and JSON lines that break off, in files that hold others too."""
+    root = _scratch(spark, "rejected")
+    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    short = F.concat(key.cast("string"), F.lit(',"'), "o_orderpriority", F.lit(', x"'))
+    csv = F.when(key % 5 == 0, short).otherwise(F.concat(short, F.lit(","), "o_orderstatus"))
+    half = F.concat(F.lit('{"claim_id": '), key.cast("string"), F.lit(', "status": "'), "o_orderstatus")
+    json = F.when(key % 7 == 0, half).otherwise(F.concat(half, F.lit('"}')))
+    header = spark.range(1).select(F.lit("claim_id,priority,status").alias("value"))
+    header.unionByName(orders.select(csv.alias("value"))).coalesce(1).write.text(f"{root}/csv/2026-05-04")
+    orders.select(json.alias("value")).write.text(f"{root}/json/2026-05-11")
+    found = [
+        sheets.rejected_rows(spark, f"{root}/{fmt}", fmt, glob="part-*").select(F.lit(fmt).alias("fmt"), "sheet_name", "text", "reason")
+        for fmt in ("csv", "json")
+    ]
+    return found[0].unionByName(found[1])
+
+
 # --- dates ---------------------------------------------------------------------------------
 
 _STYLES = (

@@ -200,3 +200,94 @@ def test_report_reads_back(spark, tmp_path):
     reports.write_report(rows, str(tmp_path / "2026-05-04"))
     got = sheets.read_snapshots(spark, str(tmp_path), glob="part-*").select("plan", "n")
     assert {tuple(r) for r in got.collect()} == {('say "x", ok', "1"), ("a\\b", "2")}
+
+
+CELLS = ["plain", "line one\nline two", 'say "x",\r\nok', "lone\rreturn", " blanks ", '"', "\n", ",", 'a "b', "end\n"]
+
+
+def test_report_with_line_breaks_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, cell, i * 9) for i, cell in enumerate(CELLS)], "`Claim ID` int, note string, n int")
+    reports.write_report(rows.repartition(3), str(tmp_path / "2026-05-04"))
+    got = sheets.read_snapshots(spark, str(tmp_path), glob="part-*").select("claim_id", "note", "n")
+    assert {tuple(r) for r in got.collect()} == {(str(i), cell, str(i * 9)) for i, cell in enumerate(CELLS)}
+
+
+def test_only_files_with_spanning_records_are_read_whole(spark, tmp_path):
+    put(tmp_path, "2026-05-04/a.csv", 'Claim ID,Note\n1,"two\nlines"\n2,"x, y",beyond\n')
+    put(tmp_path, "2026-05-04/b.csv", 'Claim ID,Note\n3,5" pipe\n\n4,"say ""hi"""\n')
+    put(tmp_path, "2026-05-11.csv", '"Claim\nID","No, te"\n5,z\n')
+    profile = sheets._profiled(spark, "csv", sheets.list_sheets(spark, str(tmp_path)).collect())
+    spans = {f.path.rsplit("/", 1)[1]: f.spans_lines for f in profile.files}
+    assert spans == {"a.csv": True, "b.csv": False, "2026-05-11.csv": True}
+    df = sheets.read_snapshots(spark, str(tmp_path))
+    got = {tuple(r) for r in df.select("claim_id", "note", "column_2", "no_te").collect()}
+    assert got == {
+        ("1", "two\nlines", None, None), ("2", "x, y", "beyond", None), ("3", '5" pipe', None, None),
+        ("4", 'say "hi"', None, None), ("5", None, None, "z"),
+    }
+    order = [r["claim_id"] for r in df.orderBy("sheet_pos", "row_pos").select("claim_id").collect()]
+    assert order == ["1", "2", "3", "4", "5"]
+
+
+def test_a_quote_that_is_never_closed_is_refused(spark, tmp_path):
+    put(tmp_path, "2026-05-04.csv", 'n,m\n1,"open\n2,x\n')
+    put(tmp_path, "2026-05-11.csv", "n,m\n3,y\n")
+    with pytest.raises(ValueError, match="not closed"):
+        sheets.read_snapshots(spark, str(tmp_path))
+    assert [r["n"] for r in sheets.read_snapshots(spark, str(tmp_path), on_error="skip").collect()] == ["3"]
+    assert [tuple(r)[1:] for r in sheets.rejected_files(spark, str(tmp_path)).collect()] == [("2026-05-04", "a quoted cell is not closed")]
+
+
+def test_broken_json_records(spark, tmp_path):
+    put(tmp_path, "2026-05-04.json", '{"Claim ID": "1", "b": {"c": [1, 2]}}\n{"Claim ID": "2", "b"\n\n7\n[{"Claim ID": 3}, {"d": "x"}, 4]\n')
+    put(tmp_path, "2026-05-11.json", "broken\n")
+    with pytest.raises(ValueError, match="4 broken records in 2 files"):
+        sheets.read_snapshots(spark, str(tmp_path), "json")
+    df = sheets.read_snapshots(spark, str(tmp_path), "json", on_error="skip")
+    assert set(df.columns) - {"sheet_name", "sheet_pos", "snapshot_date", "row_pos"} == {"claim_id", "b", "d"}
+    got = [tuple(r) for r in df.orderBy("row_pos").select("claim_id", "b", "d").collect()]
+    assert got == [("1", '{"c":[1,2]}', None), ("3", None, None), (None, None, "x")]
+    bad = sheets.rejected_rows(spark, str(tmp_path), "json").orderBy("sheet_name", "row_pos").collect()
+    assert [(r["sheet_name"], r["text"]) for r in bad] == [
+        ("2026-05-04", '{"Claim ID": "2", "b"'), ("2026-05-04", "7"), ("2026-05-04", "4"), ("2026-05-11", "broken"),
+    ]
+    assert {r["reason"] for r in bad} == {"no JSON object"}
+
+
+def test_short_rows(spark, tmp_path):
+    put(tmp_path, "2026-05-04.csv", 'a,b,c\n1,"x, y",3\n2\n3,"p, q"\n4,5,6,7\n')
+    put(tmp_path, "2026-05-11.csv", 'a,b,c\n5,"two\nlines"\n6,7,8\n')
+    assert sheets.read_snapshots(spark, str(tmp_path)).count() == 6  # filled with nulls
+    with pytest.raises(ValueError, match="fewer cells"):
+        sheets.read_snapshots(spark, str(tmp_path), short_rows="reject")
+    kept = sheets.read_snapshots(spark, str(tmp_path), short_rows="reject", on_error="skip")
+    assert sorted(r["a"] for r in kept.collect()) == ["1", "4", "6"]
+    bad = sheets.rejected_rows(spark, str(tmp_path)).orderBy("sheet_name", "row_pos")
+    assert [(r["text"], r["reason"]) for r in bad.collect()] == [
+        ("2", "1 of 3 cells"), ('3,"p, q"', "2 of 3 cells"), ('5,"two\nlines"', "2 of 3 cells"),
+    ]
+
+
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_jobs_do_not_grow_with_files(spark, tmp_path, fmt):
+    few, many = tmp_path / "few", tmp_path / "many"
+    if fmt == "parquet":
+        for root, n in ((few, 2), (many, 24)):
+            spark.range(96).selectExpr("id AS n", "'x' AS m").repartition(n).write.parquet(str(root / "2026-05-04"))
+    else:
+        for root, n in ((few, 2), (many, 24)):
+            for i in range(n):
+                text = f"n,m\n{i},x\n" if fmt == "csv" else json.dumps({"n": str(i), "m": "x"}) + "\n"
+                put(root, f"2026-05-04/part-{i}.{fmt}", text)
+    made = [
+        _jobs(spark, f"{fmt}-{root.name}", lambda root=root: sheets.read_snapshots(spark, str(root), fmt, glob="part-*"))
+        for root in (few, many)
+    ]
+    assert made[0] == made[1] > 0
