@@ -1,11 +1,19 @@
 """Continuous refresh: new snapshot files in, trend tables of the touched snapshots out.
 
-Files arrive as ``root/<sheet>/<file>``; a changed sheet comes as a file with a new name.
-Each micro-batch lands its raw rows, then the trend rows of the snapshots it touched are
-computed again from everything landed for them. Recomputing whole snapshots keeps the
-duplicate drop right when one snapshot is spread over batches. All writes replace whole
-partitions, and landed rows are partitioned by batch, so a batch that is run again after
-a failure changes nothing.
+Files arrive as ``root/<sheet>/<file>``; a changed sheet comes as a file with a new name. Two
+sources feed a store:
+
+* ``stream_snapshots`` streams the rows of files that share one schema;
+* ``stream_files`` streams file names, and each batch reads its files by their own headers.
+
+Each micro-batch lands its raw rows. Landed rows are then merged (``merge_landed``): a second
+stream, over the landed files, cleans every row once and keeps the hashes of all cleaned rows of a
+sheet as its state, so that only rows that are new to their sheet pass. Their measures are added up
+and written as one increment per batch; the trend rows of the touched snapshots are sums of
+increments. A batch costs what its own rows cost, however much has landed before.
+
+All writes replace whole partitions and landed rows are partitioned by batch, so a batch that
+is run again after a failure changes nothing: rows landed again are not new.
 """
 
 from __future__ import annotations
@@ -20,12 +28,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from arledger.functions.headers import distinct_names, standard_name
 from arledger.operators.cleaning import clean_claims
-from arledger.operators.snapshots import parse_snapshot_date, sheet_list
+from arledger.operators.columns import LINEAGE
+from arledger.operators.measures import MEASURES, condense, need
+from arledger.operators.snapshots import date_grouped, parse_snapshot_date, sheet_list
 from arledger.plans.trend import aging_trend, snapshot_summary, trend_cube
 from arledger.sources.landing import PARTITIONS
+from arledger.sources.snapshots import place_files, read_files
 
 _ROW_POS = "decimal(38,0)"
 _TRACE = ("sheet_name", "uri", "start", "index")
+_NOTE_SCHEMA = "columns array<string>, sheets array<string>"
+
+#: Where the hashes of a store's rows are kept: on local disk, with changes in the checkpoint.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: Increments after which they are added up, so that a batch reads a bounded number of them.
+_FOLD = 32
 
 SUMMARY_SCHEMA = (
     "snapshot_label string, total_claims long, open_claims long, outstanding_balance double, "
@@ -48,8 +70,7 @@ def stream_snapshots(
 ) -> DataFrame:
     """Stream of new snapshot rows: text columns under standard names, plus where each row
     stands. ``columns`` are the headers of the files. ``max_files`` bounds a micro-batch."""
-    if not 0 < max_files < 100_000:
-        raise ValueError("max_files must be between 1 and 99999")
+    _check_bound(max_files)
     reader = (
         spark.readStream.format(fmt)
         .schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
@@ -75,6 +96,25 @@ def stream_snapshots(
     )
 
 
+def stream_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
+    """Stream of new files: (uri, path). File contents are not read here."""
+    _check_bound(max_files)
+    listed = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files)
+        .load(root)
+    )
+    return listed.select(F.col("_metadata.file_path").alias("uri"), "path")
+
+
+def _check_bound(max_files: int) -> None:
+    # A row's position holds its file's number within the batch.
+    if not 0 < max_files < 100_000:
+        raise ValueError("max_files must be between 1 and 99999")
+
+
 def _landed_schema(columns: Sequence[str]) -> T.StructType:
     text = [T.StructField(c, T.StringType()) for c in columns]
     return T.StructType(
@@ -104,8 +144,8 @@ def read_raw(spark: SparkSession, store: str, columns: Sequence[str]) -> DataFra
 
 
 def _land_batch(batch: DataFrame, batch_id: int, store: str) -> list[str]:
-    """Append a batch to the raw store; returns the sheets it touched. File names, at most
-    ``max_files`` of them, come to the driver; rows do not."""
+    """Append a batch of rows to the raw store; returns the sheets it touched. File names, at
+    most ``max_files`` of them, come to the driver; rows do not."""
     files = sorted(
         (r["uri"], r["sheet_name"]) for r in batch.select("uri", "sheet_name").distinct().collect()
     )
@@ -119,29 +159,61 @@ def _land_batch(batch: DataFrame, batch_id: int, store: str) -> list[str]:
     places = spark.createDataFrame(
         [(uri, i) for i, (uri, _) in enumerate(files)], "uri string, file_pos long"
     )
+    position = _shifted("file_pos", 26) + _shifted("start", 11) + _shifted("index", 0)
+    rows = batch.join(places, "uri").select(
+        position.cast(_ROW_POS).alias("row_pos"),
+        *(c for c in batch.columns if c not in _TRACE),
+        "sheet_name",
+    )
+    sheets = sorted({sheet for _, sheet in files})
+    _land_rows(rows, sheets, batch_id, store)
+    return sheets
 
-    def digits(name: str, place: int):
-        return F.col(name).cast(_ROW_POS) * F.lit(Decimal(10) ** place)
 
-    position = (
-        F.lit(batch_id).cast(_ROW_POS) * F.lit(Decimal(10) ** 31)
-        + digits("file_pos", 26)
-        + digits("start", 11)
-        + digits("index", 0)
-    )
-    rows = (
-        batch.join(places, "uri")
-        .select(
-            position.cast(_ROW_POS).alias("row_pos"),
-            *(c for c in batch.columns if c not in _TRACE),
-            parse_snapshot_date(F.col("sheet_name")).alias("snapshot_date"),
-            "sheet_name",
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        )
-        .hint("rebalance", "sheet_name")
-    )
-    _replace_partitions(rows, f"{store}/raw", (*PARTITIONS, "batch_id"))
-    return sorted({sheet for _, sheet in files})
+def _land_files(
+    batch: DataFrame, batch_id: int, store: str, root: str, fmt: str, on_error: str
+) -> list[str]:
+    """Append the rows of a batch of files to the raw store, each file by its own header;
+    returns the sheets it touched."""
+    spark = batch.sparkSession
+    names = [(r["uri"], r["path"]) for r in batch.collect()]
+    if not names:
+        return []
+    files = place_files(spark, names, root)
+    rows = read_files(spark, files, fmt, on_error=on_error)
+    if rows is None:
+        return []
+    sheets = sorted(r["sheet_name"] for r in files.select("sheet_name").distinct().collect())
+    _land_rows(rows.drop("sheet_pos", "snapshot_date"), sheets, batch_id, store)
+    return sheets
+
+
+def _shifted(name: str, digits: int):
+    return F.col(name).cast(_ROW_POS) * F.lit(Decimal(10) ** digits)
+
+
+def _land_rows(rows: DataFrame, sheets: Sequence[str], batch_id: int, store: str) -> None:
+    """Write rows with their position in the batch, and a note of the batch's columns."""
+    spark = rows.sparkSession
+    position = F.lit(batch_id).cast(_ROW_POS) * F.lit(Decimal(10) ** 31) + F.col("row_pos")
+    columns = [c for c in rows.columns if c not in LINEAGE]
+    number = F.lit(batch_id).cast("bigint").alias("batch_id")
+    landed = rows.select(
+        position.cast(_ROW_POS).alias("row_pos"),
+        *columns,
+        parse_snapshot_date(F.col("sheet_name")).alias("snapshot_date"),
+        "sheet_name",
+        number,
+    ).hint("rebalance", "sheet_name")
+    _replace_partitions(landed, f"{store}/raw", (*PARTITIONS, "batch_id"))
+    note = spark.createDataFrame([(columns, list(sheets))], _NOTE_SCHEMA).select("*", number)
+    _replace_partitions(note, f"{store}/batches", ["batch_id"])
+
+
+def landed_columns(spark: SparkSession, store: str) -> list[str]:
+    """Columns of all landed batches, in the order of their first appearance."""
+    notes = spark.read.schema(f"{_NOTE_SCHEMA}, batch_id bigint").parquet(f"{store}/batches")
+    return list(dict.fromkeys(c for r in notes.orderBy("batch_id").collect() for c in r["columns"]))
 
 
 def refresh_snapshots(
@@ -157,12 +229,17 @@ def refresh_snapshots(
     claims = clean_claims(raw, duplicates="keep")
     if keep is not None:
         claims = keep(claims)
+    _write_trend(trend_cube(claims), sheet_list(raw), store)
+
+
+def _write_trend(cube: DataFrame, sheets: DataFrame, store: str) -> None:
+    """Summary and aging of the given sheets, which replace earlier ones."""
+    spark = cube.sparkSession
     # A few rows per sheet, used by both tables; rebuilt from files if an executor is lost.
-    cube = trend_cube(claims).persist()
+    cube = cube.persist()
     try:
         # One time for both tables of a refresh.
         now = spark.range(1).select(F.current_timestamp()).first()[0]
-        sheets = sheet_list(raw)
         summary = snapshot_summary(cube, sheets).withColumn("refreshed_at", F.lit(now))
         aging = aging_trend(cube).withColumn("refreshed_at", F.lit(now))
         # A sheet that is left without rows still writes its partition, which replaces an
@@ -180,14 +257,109 @@ def refresh_snapshots(
         cube.unpersist()
 
 
+def _row_key(claims: DataFrame):
+    """128-bit hash of a cleaned row. Null cells do not count, so a column that a file lacks is a
+    column of nulls."""
+    cells = []
+    for field in sorted(claims.schema.fields, key=lambda f: f.name):
+        if field.name in LINEAGE:
+            continue
+        cell = F.col(field.name)
+        # Minus zero equals zero.
+        cells.append((cell + 0.0 if isinstance(field.dataType, T.DoubleType) else cell).alias(field.name))
+    return F.unhex(F.md5(F.to_json(F.struct(*cells))))
+
+
+def _increments(spark: SparkSession, store: str) -> DataFrame:
+    """Measures of all merged rows: the newest fold and the increments after it."""
+    parts = spark.read.schema(_CUBE_SCHEMA).parquet(f"{store}/cube")
+    folds = parts.where("kind = 'fold'").agg(F.max("merge_id")).first()[0]
+    newer = (F.col("kind") == "increment") & (F.col("merge_id") > (-1 if folds is None else folds))
+    return parts.where(newer if folds is None else newer | ((F.col("kind") == "fold") & (F.col("merge_id") == folds)))
+
+
+_CUBE_SCHEMA = (
+    "sheet_name string, aging_bucket string, worked_by string, n_claims bigint, n_open bigint, "
+    "n_done bigint, n_worked bigint, sum_outstanding double, sum_recovered double, "
+    "kind string, merge_id bigint"
+)
+
+
+def merge_landed(
+    spark: SparkSession,
+    store: str,
+    touched: Sequence[str] = (),
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Merge what has landed since the last call into the trend tables; returns the finished
+    query, whose progress tells the rows it read. ``touched`` sheets get rows in the tables even
+    if no row of them passes ``keep``, a filter on rows, which belongs to the store."""
+    columns = landed_columns(spark, store)
+    raw = spark.readStream.schema(_landed_schema(columns)).parquet(f"{store}/raw")
+    claims = clean_claims(raw, duplicates="keep")
+    if keep is not None:
+        claims = keep(claims)
+    new = claims.withColumn("_key", _row_key(claims)).dropDuplicates(["sheet_name", "_key"])
+    merged: set[str] = set(touched)
+
+    def add(batch: DataFrame, merge_id: int) -> None:
+        sums = condense(need(batch.drop("snapshot_date", "batch_id", "_key"), "balance", "worked_by", "aging_bucket"))
+        kept = [c for c in (*_CUBE_KEYS, *MEASURES) if c in sums.columns]
+        marks = {"kind": F.lit("increment"), "merge_id": F.lit(merge_id).cast("bigint")}
+        _replace_partitions(sums.select(*kept).withColumns(marks), f"{store}/cube", ("kind", "merge_id"))
+        if merge_id % _FOLD == _FOLD - 1:
+            parts = _increments(spark, store).groupBy(*_CUBE_KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+            marks["kind"] = F.lit("fold")
+            _replace_partitions(parts.withColumns(marks), f"{store}/cube", ("kind", "merge_id"))
+        here = spark.read.schema(_CUBE_SCHEMA).parquet(f"{store}/cube").where(
+            (F.col("kind") == "increment") & (F.col("merge_id") == merge_id)
+        )
+        merged.update(r["sheet_name"] for r in here.select("sheet_name").distinct().collect())
+
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
+    try:
+        query = (
+            new.writeStream.foreachBatch(add)
+            .option("checkpointLocation", f"{store}/_merge")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    if merged:
+        _write_tables(spark, store, sorted(merged))
+    return query
+
+
+_CUBE_KEYS = ("sheet_name", "aging_bucket", "worked_by")
+
+
+def _write_tables(spark: SparkSession, store: str, names: Sequence[str]) -> None:
+    """Trend rows of some sheets from the increments."""
+    dated = parse_snapshot_date(F.col("sheet_name"))
+    sheets = spark.createDataFrame([(n,) for n in names], "sheet_name string")
+    sheets = _placed(sheets.withColumn("snapshot_date", dated).where("snapshot_date is not null"))
+    cube = _increments(spark, store).where(F.col("sheet_name").isin(*names)).drop("kind", "merge_id")
+    cube = _placed(date_grouped(cube, "n_claims"))
+    _write_trend(cube, sheets, store)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("sheet_pos", F.unix_date(F.to_date("snapshot_date")))
+
+
 def refresh_landed(
     spark: SparkSession,
     store: str,
     columns: Sequence[str],
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Compute the trend rows of all landed sheets, each once. Only sheet names, which are
-    partition values, come to the driver."""
+    """Compute the trend rows of all landed sheets again, each once, for another ``keep`` than
+    the one they were merged with. Only sheet names, which are partition values, come to the driver."""
     names = read_raw(spark, store, columns).select("sheet_name").distinct().collect()
     refresh_snapshots(spark, store, columns, sorted(r["sheet_name"] for r in names), keep)
 
@@ -202,20 +374,55 @@ def refresh_metrics(
     land_only: bool = False,
 ) -> StreamingQuery:
     """Start the refresh of ``store`` (a folder all executors reach) from a stream of
-    snapshot rows. ``every=None`` takes in what is there and stops.
-
-    A batch rereads all that has landed for its sheets. A first load of many files should
-    therefore run with ``land_only`` and be followed by one ``refresh_landed``.
+    snapshot rows. ``every=None`` takes in what is there and stops. With ``land_only`` rows are
+    merged by a later call of ``merge_landed``.
 
     The checkpoint belongs to the store: with a new one, batches would be numbered from
     zero again and replace earlier ones.
     """
-    columns = [c for c in stream.columns if c not in _TRACE]
 
+    def land(batch: DataFrame, batch_id: int) -> list[str]:
+        return _land_batch(batch, batch_id, store)
+
+    return _refresh(stream, land, store, keep, every, checkpoint, land_only)
+
+
+def refresh_files(
+    spark: SparkSession,
+    root: str,
+    store: str,
+    fmt: str = "csv",
+    *,
+    max_files: int = 1000,
+    on_error: str = "raise",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+    every: str | None = "30 minutes",
+    checkpoint: str | None = None,
+    land_only: bool = False,
+) -> StreamingQuery:
+    """``refresh_metrics`` of the files below ``root``, whose headers and types may differ from
+    file to file. ``on_error`` is that of ``read_snapshots``."""
+
+    def land(batch: DataFrame, batch_id: int) -> list[str]:
+        return _land_files(batch, batch_id, store, root, fmt, on_error)
+
+    stream = stream_files(spark, root, max_files)
+    return _refresh(stream, land, store, keep, every, checkpoint, land_only)
+
+
+def _refresh(
+    stream: DataFrame,
+    land: Callable[[DataFrame, int], list[str]],
+    store: str,
+    keep: Callable[[DataFrame], DataFrame] | None,
+    every: str | None,
+    checkpoint: str | None,
+    land_only: bool,
+) -> StreamingQuery:
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = _land_batch(batch, batch_id, store)
+        touched = land(batch, batch_id)
         if touched and not land_only:
-            refresh_snapshots(batch.sparkSession, store, columns, touched, keep)
+            merge_landed(batch.sparkSession, store, touched, keep)
 
     writer = stream.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", checkpoint or f"{store}/_checkpoint"

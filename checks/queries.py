@@ -925,6 +925,27 @@ def _(spark, sf_dir):
     )
 
 
+@register(
+    "stream_differing_headers",
+    sql.trend_query(_SUMMARY_SQL.replace(" sheet_name,", f" {_STREAM_NAME},")),
+)
+def _(spark, sf_dir):
+    """Files of three headers in two batches: names spelled otherwise, columns in another order,
+    a column more. Their trend rows equal the trend of all rows."""
+    store = _scratch(spark, "headers")
+    raw = claims_raw(spark, sf_dir).withColumn("sheet", F.replace(F.col("sheet_name"), F.lit("/"), F.lit("-")))
+    spelled = [F.col(c).alias(c.replace("_", " ").title()) for c in DATA_COLUMNS]
+    kinds = (spelled, [*reversed(spelled)], [*map(F.col, DATA_COLUMNS), F.lit(None).cast("string").alias("Note")])
+    names = [r["sheet"] for r in raw.select("sheet").distinct().collect()]
+    for i, columns in enumerate(kinds):
+        mine = raw.where(F.pmod(F.floor(F.col("row_pos") / 1000000), F.lit(3)) == i)
+        for name in names:
+            reports.write_report(mine.where(F.col("sheet") == name).select(*columns).coalesce(1), f"{store}/in/{name}/{i}")
+    query = refresh.refresh_files(spark, f"{store}/in", f"{store}/out", every=None, max_files=7, on_error="raise")
+    query.awaitTermination()
+    return presented(refresh.read_summary(spark, f"{store}/out").select(*trend.SUMMARY_COLUMNS))
+
+
 # --- snapshot folders: files of one sheet that differ ------------------------------------------
 
 _FILES_SQL = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Notes' ELSE '2026-05-04' END AS sheet_name,
