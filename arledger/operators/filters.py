@@ -57,22 +57,27 @@ def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
     return df
 
 
-def default_filters(df: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
+def default_filters(
+    df: DataFrame, all_rows: DataFrame | None = None, known: tuple[bool, bool] | None = None
+) -> DataFrame:
     """The selection with everything ticked.
 
     It is not a no-op: "all buckets" leaves out rows without a bucket and "all dates" rows
-    without a date, unless no row at all has one. The latter is asked by an EXISTS that
-    stops at the first hit. ``all_rows`` is the frame to ask, by default ``df``; give the
-    rows before their duplicate drop, which has the same answer without its shuffle.
+    without a date, unless no row at all has one. ``known`` says whether any row has a bucket and
+    a date (``plans.manifest`` knows). Without it, both are asked by an EXISTS that stops at
+    the first hit of ``all_rows``, by default ``df``; give the rows before their duplicate
+    drop, which has the same answer without its shuffle.
     """
     all_rows = df if all_rows is None else all_rows
     bucket, day = resolve(df, "aging_bucket"), filter_day(df)
-    if bucket:
-        known = F.col(bucket).isNotNull()
-        df = df.filter(known | ~all_rows.filter(known).exists())
-    if day is not None:
-        known = day.isNotNull()
-        df = df.filter(known | ~all_rows.filter(known).exists())
+    present = [F.col(bucket).isNotNull() if bucket else None, None if day is None else day.isNotNull()]
+    for i, has_one in enumerate(present):
+        if has_one is None:
+            continue
+        if known is None:
+            df = df.filter(has_one | ~all_rows.filter(has_one).exists())
+        elif known[i]:
+            df = df.filter(has_one)
     return df
 
 

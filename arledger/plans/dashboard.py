@@ -15,7 +15,6 @@ from arledger.operators.cleaning import clean_claims
 from arledger.operators.filters import (
     FilterSpec,
     apply_filters,
-    date_bounds,
     default_filters,
     filter_options,
 )
@@ -37,7 +36,16 @@ from arledger.operators.metrics import (
     worked_vs_recovered,
 )
 from arledger.operators.portfolio import latest_claims
-from arledger.operators.snapshots import current_snapshot, dated, sheet_list
+from arledger.operators.snapshots import dated
+from arledger.plans.manifest import (
+    Manifest,
+    collected_manifest,
+    manifest_bounds,
+    manifest_snapshot,
+    read_manifest,
+    sheet_manifest,
+    with_sheets,
+)
 from arledger.plans.trend import Trend, build_trend
 from arledger.sources.landing import materialize
 
@@ -69,13 +77,20 @@ class Dashboard(NamedTuple):
     trend: Trend
 
 
-def filtered_claims(raw: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
-    """Raw rows -> dated, cleaned rows that pass the selection (default: all ticked)."""
-    rows = dated(raw)
-    cleaned = clean_claims(rows)
+def _chosen(cleaned: DataFrame, spec: FilterSpec | None, manifest: Manifest) -> DataFrame:
     if spec is not None:
         return apply_filters(cleaned, spec)
-    return default_filters(cleaned, clean_claims(rows, duplicates="keep"))
+    return default_filters(cleaned, known=(manifest.has_bucket, manifest.has_day))
+
+
+def filtered_claims(
+    raw: DataFrame, spec: FilterSpec | None = None, manifest: Manifest | None = None
+) -> DataFrame:
+    """Raw rows -> dated, cleaned rows that pass the selection (default: all ticked). Without
+    a manifest of ``raw`` one is made first, in a job of its own."""
+    if manifest is None and spec is None:
+        manifest = collected_manifest(raw.sparkSession, sheet_manifest(raw))
+    return _chosen(clean_claims(dated(raw)), spec, manifest)
 
 
 def dashboard(
@@ -88,36 +103,40 @@ def dashboard(
 
     ``sheets`` (``sources.snapshots.list_sheets``) also knows sheets without rows; by
     default the sheets are those that have rows. With ``path``, a folder all executors
-    reach, ``raw`` is scanned once: the cleaned rows, the filtered ones and the sheet list
-    are landed there, and every table reads its columns and partitions from them.
+    reach, ``raw`` is scanned once: the cleaned rows, the filtered ones and the manifest
+    are landed there, and every table reads its columns and partitions from them. Without it,
+    the manifest is made first, by one pass over three columns, and every table is a plan
+    over ``raw``.
     """
-    given = None
-    if sheets is not None:
-        given = dated(sheets).select("sheet_name", "sheet_pos", "snapshot_date").distinct()
+    spark = raw.sparkSession
     if path is None:
-        known = sheet_list(raw) if given is None else given
-        return dashboard_tables(clean_claims(dated(raw)), filtered_claims(raw, spec), known)
+        table = sheet_manifest(raw)
+        table = table if sheets is None else with_sheets(table, sheets)
+        manifest = collected_manifest(spark, table)
+        return dashboard_tables(clean_claims(dated(raw)), filtered_claims(raw, spec, manifest), manifest)
     cleaned = materialize(clean_claims(dated(raw)), f"{path}/cleaned")
-    known = sheet_list(cleaned) if given is None else given
-    known.write.mode("overwrite").parquet(f"{path}/sheets")
-    known = raw.sparkSession.read.schema(known.schema).parquet(f"{path}/sheets")
-    chosen = default_filters(cleaned) if spec is None else apply_filters(cleaned, spec)
-    return dashboard_tables(cleaned, materialize(chosen, f"{path}/filtered"), known)
+    table = sheet_manifest(cleaned)
+    table = table if sheets is None else with_sheets(table, sheets)
+    table.write.mode("overwrite").parquet(f"{path}/manifest")
+    manifest = read_manifest(spark.read.schema(table.schema).parquet(f"{path}/manifest"))
+    chosen = materialize(_chosen(cleaned, spec, manifest), f"{path}/filtered")
+    return dashboard_tables(cleaned, chosen, manifest)
 
 
-def dashboard_tables(cleaned: DataFrame, claims: DataFrame, sheets: DataFrame) -> Dashboard:
-    """Dashboard tables from cleaned rows, the filtered part of them and the sheet list.
+def dashboard_tables(cleaned: DataFrame, claims: DataFrame, manifest: Manifest) -> Dashboard:
+    """Dashboard tables from cleaned rows, the filtered part of them and the manifest.
 
     Every table is its own plan over ``claims``. On landed claims each plan reads only its
     columns, and the current-snapshot tables only one partition.
     """
-    current = current_snapshot(claims, sheets)
+    current = manifest_snapshot(claims, manifest)
+    sheets = manifest.sheets.select("sheet_name", "sheet_pos", "snapshot_date")
     productivity = employee_productivity(claims)
     collection = employee_collection(claims)
     stats = follow_up_stats(claims)
     return Dashboard(
         filter_options=filter_options(cleaned),
-        date_bounds=date_bounds(cleaned),
+        date_bounds=manifest_bounds(manifest),
         cards=kpi_cards(current),
         topline=topline(current),
         aging_summary=aging_summary(current),

@@ -109,11 +109,12 @@ def aging_trend(
 
 def build_trend(df: DataFrame, sheets: DataFrame) -> Trend:
     """All trend tables of filtered, cleaned claims. ``sheets`` is the list of dated sheets
-    taken before filtering."""
+    taken before filtering. Both tables keep the sheet's position, by which later tables
+    order sheets of one date."""
     cube = trend_cube(df)
     return Trend(
-        snapshot_summary(cube, sheets),
-        aging_trend(cube),
+        snapshot_summary(cube, sheets, positions=True),
+        aging_trend(cube, positions=True),
         ordered_sheets(sheets),
         latest_sheet(sheets),
     )

@@ -14,7 +14,8 @@ from arledger.functions import text
 from arledger.operators import filters, followup, metrics, portfolio, snapshots
 from arledger.operators.cleaning import clean_claims
 from arledger.plans import trend
-from arledger.plans.dashboard import dashboard, filtered_claims
+from arledger.plans.dashboard import Dashboard, dashboard, filtered_claims
+from arledger.plans.manifest import sheet_manifest
 from arledger.sources import files, grid, landing, reports
 from arledger.sources import snapshots as sheets
 from arledger.streaming import refresh
@@ -60,9 +61,9 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered_claims(claims_raw(spark, sf_dir))
 
 
-def current_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = claims_raw(spark, sf_dir)
-    return snapshots.current_snapshot(filtered_claims(raw), snapshots.sheet_list(raw))
+def boards(spark: SparkSession, sf_dir: str):
+    """The dashboard as plans over the raw rows, nothing landed."""
+    return dashboard(claims_raw(spark, sf_dir))
 
 
 def trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -842,17 +843,17 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return presented(metrics.kpi_cards(current_filtered(spark, sf_dir)))
+    return presented(boards(spark, sf_dir).cards)
 
 
 @register("dashboard_topline", sql.claims_query(sql.topline("cur_filtered")))
 def _(spark, sf_dir):
-    return presented(metrics.topline(current_filtered(spark, sf_dir)))
+    return presented(boards(spark, sf_dir).topline)
 
 
 @register("dashboard_aging_summary", sql.claims_query(sql.aging_summary("cur_filtered")))
 def _(spark, sf_dir):
-    return presented(metrics.aging_summary(current_filtered(spark, sf_dir)))
+    return presented(boards(spark, sf_dir).aging_summary)
 
 
 @register("dashboard_productivity", sql.claims_query(sql.productivity("filtered")))
@@ -1107,7 +1108,11 @@ def _(spark, sf_dir):
 
 @register(
     "net_improvement_incomplete",
-    sql.trend_query("SELECT count(*) AS n FROM trend WHERE total_claims < 0"),
+    sql.trend_query(
+        "SELECT count(*) AS n FROM trend WHERE snapshot_label = '2026-05-04' AND "
+        "(SELECT count(DISTINCT snapshot_label) FROM trend WHERE snapshot_label <> '2026-05-11' AND snapshot_label IN "
+        "('2026-05-04', '2026-05-11', '2026-05-18', '2026-05-26')) = 4"
+    ),
 )
 def _(spark, sf_dir):
     """With a week missing there is no result."""
@@ -1118,8 +1123,17 @@ def _(spark, sf_dir):
 # --- the dashboard as one landed build ----------------------------------------------------------
 
 
-def board(spark: SparkSession, sf_dir: str):
-    return dashboard(claims_raw(spark, sf_dir), path=_scratch(spark, "board"))
+_LANDED: dict[tuple[str, str], Dashboard] = {}
+
+
+def board(spark: SparkSession, sf_dir: str) -> Dashboard:
+    """The dashboard of the claims and an undated sheet, landed once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        raw = claims_raw(spark, sf_dir)
+        notes = raw.where("sheet_pos = 1").withColumns({"sheet_name": F.lit("Notes"), "sheet_pos": F.lit(9)})
+        _LANDED[key] = dashboard(raw.unionByName(notes), path=_scratch(spark, "board"))
+    return _LANDED[key]
 
 
 _BOARD_FOLLOW = sql.FOLLOW.replace("FROM priced", "FROM filtered")
@@ -1185,4 +1199,88 @@ for _field, _restated in _BOARD.items():
 
 @register("board_snapshot_summary", sql.trend_query(_SUMMARY_SQL, "filtered"))
 def _(spark, sf_dir):
-    return presented(board(spark, sf_dir).trend.snapshot_summary)
+    return presented(board(spark, sf_dir).trend.snapshot_summary.select(*trend.SUMMARY_COLUMNS))
+
+
+@register(
+    "board_aging_distribution",
+    sql.trend_query(
+        f"""SELECT strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, sheet_name,
+  {sql.SORTED_BUCKET} AS aging_bucket, claim_count, round(outstanding_balance, 2) AS outstanding_balance
+FROM trend_aging""",
+        "filtered",
+    ),
+)
+def _(spark, sf_dir):
+    table = board(spark, sf_dir).trend.aging_distribution
+    return presented(table.select("snapshot_date", "sheet_name", "aging_bucket", "claim_count", "outstanding_balance"))
+
+
+@register("board_sheets", REGISTRY["ordered_sheets"][1])
+def _(spark, sf_dir):
+    return presented(board(spark, sf_dir).trend.sheets)
+
+
+@register("board_latest", REGISTRY["latest_sheet"][1])
+def _(spark, sf_dir):
+    return presented(board(spark, sf_dir).trend.latest)
+
+
+@register(
+    "board_worked_vs_recovered",
+    sql.claims_query(
+        "SELECT report_worked_by AS worked_by, count(*) AS total_touches, "
+        "count(DISTINCT claim_id) AS unique_claims_touched, round(sum(recovered), 2) AS recovered_amount "
+        "FROM filtered WHERE report_worked_by IS NOT NULL GROUP BY report_worked_by"
+    ),
+)
+def _(spark, sf_dir):
+    return presented(board(spark, sf_dir).worked_vs_recovered)
+
+
+def _tied(spark: SparkSession, sf_dir: str) -> Dashboard:
+    """A dashboard of two sheets of one date, whose names sort the other way than they stand."""
+    raw = claims_raw(spark, sf_dir).where("sheet_pos IN (1, 2)")
+    name = F.when(F.col("sheet_pos") == 1, "5/4/2026").otherwise("2026-05-04")
+    return dashboard(raw.withColumn("sheet_name", name))
+
+
+@register(
+    "board_deltas_tied",
+    sql.claims_query(
+        "SELECT 'total_claims' AS metric, CAST(count(*) FILTER (WHERE sheet_pos = 1) AS DOUBLE) AS begin_value, "
+        "CAST(count(*) FILTER (WHERE sheet_pos = 2) AS DOUBLE) AS end_value FROM "
+        "(SELECT DISTINCT * EXCLUDE (row_pos, label) FROM filtered)"
+    ),
+)
+def _(spark, sf_dir):
+    deltas = trend.snapshot_deltas(_tied(spark, sf_dir).trend.snapshot_summary)
+    return presented(deltas.where("metric = 'total_claims'").select("metric", "begin_value", "end_value"))
+
+
+@register(
+    "board_growth_tied",
+    sql.claims_query(
+        f"SELECT {sql.SORTED_BUCKET} AS aging_bucket, count(*) FILTER (WHERE sheet_pos = 2) - "
+        "count(*) FILTER (WHERE sheet_pos = 1) AS claim_change FROM "
+        "(SELECT DISTINCT * EXCLUDE (row_pos, label) FROM filtered WHERE sheet_pos IN (1, 2)) GROUP BY bucket "
+        "HAVING count(*) FILTER (WHERE sheet_pos = 2) > 0 AND count(*) FILTER (WHERE sheet_pos = 1) > 0"
+    ),
+)
+def _(spark, sf_dir):
+    growth = trend.bucket_growth(_tied(spark, sf_dir).trend.aging_distribution)
+    return presented(growth.where("claim_change IS NOT NULL").select("aging_bucket", "claim_change"))
+
+
+@register(
+    "sheet_manifest",
+    sql.claims_query(
+        "SELECT sheet_name, CAST(sheet_pos AS INTEGER) AS sheet_pos, strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, "
+        "count(*) AS n_rows, count(bucket) AS n_bucketed, count(filter_day) AS n_dated, "
+        "strftime(min(filter_day), '%Y-%m-%d') AS first_day, strftime(max(filter_day), '%Y-%m-%d') AS last_day "
+        "FROM priced WHERE snapshot_date IS NOT NULL GROUP BY priced.sheet_name, priced.sheet_pos, priced.snapshot_date"
+    ),
+)
+def _(spark, sf_dir):
+    """What a landed dashboard knows of its sheets without reading claims."""
+    return presented(sheet_manifest(claims(spark, sf_dir)))
