@@ -40,6 +40,7 @@ from arledger.operators.snapshots import dated
 from arledger.plans.manifest import (
     Manifest,
     collected_manifest,
+    dated_rows,
     manifest_bounds,
     manifest_snapshot,
     read_manifest,
@@ -88,9 +89,9 @@ def filtered_claims(
 ) -> DataFrame:
     """Raw rows -> dated, cleaned rows that pass the selection (default: all ticked). Without
     a manifest of ``raw`` one is made first, in a job of its own."""
-    if manifest is None and spec is None:
+    if manifest is None:
         manifest = collected_manifest(raw.sparkSession, sheet_manifest(raw))
-    return _chosen(clean_claims(dated(raw)), spec, manifest)
+    return _chosen(clean_claims(dated_rows(raw, manifest)), spec, manifest)
 
 
 def dashboard(
@@ -113,7 +114,8 @@ def dashboard(
         table = sheet_manifest(raw)
         table = table if sheets is None else with_sheets(table, sheets)
         manifest = collected_manifest(spark, table)
-        return dashboard_tables(clean_claims(dated(raw)), filtered_claims(raw, spec, manifest), manifest)
+        cleaned = clean_claims(dated_rows(raw, manifest))
+        return dashboard_tables(cleaned, _chosen(cleaned, spec, manifest), manifest)
     cleaned = materialize(clean_claims(dated(raw)), f"{path}/cleaned")
     table = sheet_manifest(cleaned)
     table = table if sheets is None else with_sheets(table, sheets)

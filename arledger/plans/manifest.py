@@ -23,12 +23,14 @@ COLUMNS = (
 
 
 class Manifest(NamedTuple):
-    """``sheets`` has ``COLUMNS``; the rest are its answers that plans are built with."""
+    """``sheets`` has ``COLUMNS``; the rest are its answers that plans are built with. ``names``
+    are the dated sheets, where the rows are with the driver."""
 
     sheets: DataFrame
     newest: str | None
     has_bucket: bool
     has_day: bool
+    names: tuple[str, ...] | None = None
 
 
 def sheet_manifest(df: DataFrame) -> DataFrame:
@@ -78,7 +80,16 @@ def read_manifest(table: DataFrame) -> Manifest:
 def collected_manifest(spark: SparkSession, table: DataFrame) -> Manifest:
     """``read_manifest`` with the rows, one per sheet like the sheet list, kept by the driver, so
     that no plan derives them again."""
-    return read_manifest(spark.createDataFrame(table.collect(), table.schema))
+    rows = table.collect()
+    manifest = read_manifest(spark.createDataFrame(rows, table.schema))
+    return manifest._replace(names=tuple(sorted(r["sheet_name"] for r in rows)))
+
+
+def dated_rows(df: DataFrame, manifest: Manifest) -> DataFrame:
+    """``dated`` without reading a sheet's name as a date in each of its rows."""
+    if "snapshot_date" in df.columns or manifest.names is None:
+        return dated(df)
+    return df.where(F.col("sheet_name").isin(*manifest.names))
 
 
 def manifest_bounds(manifest: Manifest) -> DataFrame:
