@@ -14,6 +14,7 @@ matter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ BINS = 256
 #: Words and parts whose ids a worker remembers, at some 200 bytes each; beyond it, it starts
 #: anew.
 _REMEMBERED = 2_500_000
-_EDGES = str.maketrans("\t\n\r\x0b\x0c", "     ")
+#: Bytes of texts that are worked on at once.
+_RUN_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -47,14 +50,24 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words in order, and most words have been seen before. A new word of plain
-    Latin letters, digits and signs is lowered and cut here by the tokenizer's own pattern,
-    and its parts, which many words share, go to the tokenizer's model; any other word goes
-    through the whole tokenizer.
+    The known tokenizer drops white space and never joins across it, so the ids of a text are
+    those of its words in order, and most words have been seen before. Texts are split and
+    their different words found by Arrow; ids are looked up, or worked out, once per different
+    word of a batch, and laid out by array operations. A new word of plain Latin letters, digits and
+    signs is lowered and cut here by the tokenizer's own pattern, and its parts, which many words
+    share, go to the tokenizer's model; any other word goes through the whole tokenizer.
+
+    Of a file with another normalizer or pattern, whole texts go through the whole tokenizer.
     """
 
-    # The tokenizer's pattern, for words of these characters only.
+    # The known tokenizer's normalizer and pattern.
+    _NORMALIZERS = [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ]
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # The pattern for words of these characters only.
     _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     _PARTS = re.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
@@ -68,12 +81,28 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self.known = self._is_known(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self._as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self._ids: dict[str, bytes] = {"": b""}
         self._part_ids: dict[str, bytes] = {}
 
+    @classmethod
+    def _is_known(cls, path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        split, *rest = (given["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        return (
+            (given["normalizer"] or {}).get("normalizers") == cls._NORMALIZERS
+            and split.get("pattern") == {"Regex": cls._PATTERN}
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+            and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest]
+            == [("ByteLevel", False, False)]
+            # Special tokens are no parts of plain words, and hold no white space.
+            and all(t["content"].startswith("<|") and not t["content"].split()[1:] for t in given["added_tokens"])
+        )
+
     def _part(self, part: str) -> bytes:
         ids = self._part_ids.get(part)
         if ids is None:
@@ -88,22 +117,57 @@ class WordTokenizer:
                 self._ids[word] = b"".join(map(self._part, self._PARTS.findall(word.lower())))
             else:
                 other.append(word)
-        for word, got in zip(other, self._tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self._ids[word] = np.array(got.ids, dtype="<u4").tobytes()
+        for word, got in zip(other, self._whole(other)):
+            self._ids[word] = got
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(got.ids, dtype="<u4").tobytes() for got in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [text.translate(_EDGES).split(" ") for text in texts]
+        ids, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts one after another, and where each text's ids end."""
+        if not self.known:
+            found = self._whole(texts.to_pylist())
+            ends = np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+            return np.frombuffer(b"".join(found), dtype="<u4"), ends
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
         if len(self._ids) + len(self._part_ids) > _REMEMBERED:
             self._ids, self._part_ids = {"": b""}, {}
-        self._learn(set().union(*split).difference(self._ids))
-        known = self._ids.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        self._learn({word for word in different if word not in self._ids})
+        ids_of = [self._ids[word] for word in different]
+        table = np.frombuffer(b"".join(ids_of), dtype="<u4")
+        size = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = size[at]
+        after = np.cumsum(sizes)
+        place = np.arange(after[-1] if len(after) else 0) + np.repeat(first[at] - (after - sizes), sizes)
+        bounds = split.offsets.to_numpy()
+        ends = np.concatenate([[0], after])[bounds[1:] - bounds[0]]
+        return table[place], ends
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows first to last (not included) of about ``_RUN_BYTES``; a longer text stands alone."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = size[first - 1] if first else 0
+        last = max(int(np.searchsorted(size, before + _RUN_BYTES, side="right")), first + 1)
+        yield first, last
+        first = last
+
+
 def document_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Pieces of each document: doc_id, start, length, ids_crc32, doc_tokens, and a piece id
     that is fixed with the stored table."""
@@ -111,27 +175,24 @@ def document_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
-        encode = _TOKENIZERS[tokenizer].encode
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        encode = _TOKENIZERS[tokenizer].encode_array
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
-                ids_of = encode([t or "" for t in part.column(1).to_pylist()])
-                row, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(ids_of):
-                    ids += end
-                    n = len(ids) // 4
-                    for at in range(0, n, window):
-                        piece = ids[4 * at : 4 * (at + window)]
-                        row.append(i)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            for low, high in _runs(texts):
+                ids, ends = encode(texts.slice(low, high - low))
+                ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+                ends = ends + np.arange(1, len(ends) + 1)
+                total = np.diff(ends, prepend=0)
+                count = -(-total // window)
+                row = np.repeat(np.arange(len(total)), count)
+                start = window * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+                length = np.minimum(window, total[row] - start)
+                at = (ends - total)[row] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at, at + length)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(row, pa.int64())),
-                        *(pa.array(x, pa.int64()) for x in (start, length, crc, total)),
+                        batch.column(0).slice(low, high - low).take(pa.array(row)),
+                        *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row])),
                     ],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )

@@ -76,3 +76,41 @@ def test_pieces(documents):
             at += length
         assert at <= 4096
     assert packing.pack_documents(documents().where("1 = 0")).count() == 0
+
+
+def test_another_tokenizer_is_used_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].pop()  # keeps capitals
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    words = packing.WordTokenizer(str(path))
+    texts = ["Capital LETTERS stay", "", "x y"]
+    assert packing.WordTokenizer(packing.default_tokenizer()).known and not words.known
+    whole = Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)
+    assert words.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
+
+
+def test_runs_of_texts(documents, monkeypatch):
+    """Texts beyond a run, clashing names, equal lengths: the same pieces whatever the runs."""
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "word " * 9000, "a", "a", " lead", "tail ", "Ä ß " * 50, "x" * 5000] * 3
+    frame = documents(*texts).withColumn("piece", F.lit("clash")).withColumn("start", F.lit("clash")).coalesce(1)
+
+    def pieces():
+        got = packing.document_pieces(frame, packing.default_tokenizer(), 512).drop("piece")
+        return sorted(map(tuple, got.collect()))
+
+    want = pieces()
+    assert {r[0] for r in want} == set(range(27))
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    assert [words.encode([t or ""])[0] for t in texts] == words.encode([t or "" for t in texts])
+    whole = words._tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert {r[0]: r[4] for r in want} == {i: len(e.ids) + 1 for i, e in enumerate(whole)}
+    assert [i for i, e in enumerate(words.encode([])) if e] == []
+    assert sum(r[2] for r in want) == sum(len(e.ids) + 1 for e in whole)
