@@ -4,9 +4,11 @@ Every string of ``LENGTH`` bytes holds one chosen anchor: the leftmost smallest
 substrings of ``_GRAM`` bytes. Equal strings have equal anchors at equal places, so
 
 1. anchors of all texts are counted, and only those that occur twice go on (equal texts count
-   once here and are cut once; all of a text that has a copy is repeated anyway);
-2. the neighbourhood of each such anchor, all strings that belong to it, is cut out, and equal
-   neighbourhoods become one;
+   once here; all of a text that has a copy is repeated anyway). Each comes with hashes of its
+   neighbourhood, all strings that belong to it. Equal neighbourhoods that follow each other
+   closely, as in periodic text, are one row;
+2. equal neighbourhoods become one class, whose strings are all repeated. Where an anchor has
+   several classes, one neighbourhood of each is cut out of its text;
 3. neighbourhoods are dealt out by anchor. A bucket's neighbourhoods form a few shards. Each
    shard has the transform of its own suffixes; the transforms are merged by refining their
    interleave symbol by symbol, without sorting all suffixes again. Intervals of the merged
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +41,14 @@ from arledger.llm.common import narrowed, stored
 
 LENGTH = 400
 _GRAM = 200
-_SYMBOL = 50
+_SYMBOL = 100
 _SHARDS = 4
 #: Bytes of neighbourhoods in a bucket, and different neighbourhoods of one anchor.
 _BUCKET_BYTES = 2_000_000
 _MOST = 1000
+#: Most tasks that buckets are dealt to, and bytes of neighbourhoods in one batch.
+_MOST_TASKS = 20_000
+_BATCH_BYTES = 8_000_000
 _PLACE_BITS = np.uint64(20)
 _SEGMENT = 1 << 19
 
@@ -77,8 +83,31 @@ def anchors_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[first], first, last
 
 
+_ANCHORS = "g bigint, k1 bigint, k2 bigint, t bigint, pos bigint, last bigint, before bigint, size bigint"
+
+
+def _neighbourhood_hashes(data: np.ndarray, low: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes per neighbourhood, of its bytes and of the anchor's place in it."""
+    view = memoryview(data)
+    places = zip(low.tolist(), size.tolist(), before.tolist())
+    digests = b"".join([xxhash.xxh3_128_digest(view[a : a + n], seed) for a, n, seed in places])
+    return np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _chains(keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last members of chains: equal neighbourhoods of one text, each at most
+    ``LENGTH`` after the one before, so that what they cover has no gap. Periodic text, where every
+    place is an anchor, has as many chains as the period has places."""
+    order = np.lexsort((pos, keys[:, 1], keys[:, 0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1) | (np.diff(pos[order]) > LENGTH)
+    first = np.flatnonzero(new)
+    return order[first], order[np.append(first[1:], len(order)) - 1]
+
+
 def _anchors(texts: DataFrame) -> DataFrame:
-    """(g, t, pos, low, high) of all texts of at least ``LENGTH`` bytes. Each task gives the
+    """Anchors of all texts of at least ``LENGTH`` bytes, with the hashes of their neighbourhoods.
+    A row stands for a chain of equal ones, from ``pos`` to ``last``. Each task gives the
     anchors of equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,66 +124,70 @@ def _anchors(texts: DataFrame) -> DataFrame:
                         seen.add(text)
                         own = grams[low : high - _GRAM + 1]
                         pos, first, last = anchors_of(own)
-                        t = np.full(len(pos), text, dtype=np.int64)
-                        found.append((own[pos].astype(np.int64), t, pos, first, last))
+                        before, size = pos - first, last - first + LENGTH
+                        keys = _neighbourhood_hashes(chunk.data, low + first, size, before)
+                        head, tail = _chains(keys, pos)
+                        t = np.full(len(head), text, dtype=np.int64)
+                        g = own[pos[head]].astype(np.int64)
+                        found.append((g, *keys[head].T, t, pos[head], pos[tail], before[head], size[head]))
                 if found:
                     columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
-                    yield pa.RecordBatch.from_arrays(columns, ["g", "t", "pos", "low", "high"])
+                    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.select("t", "text").mapInArrow(
-        run, "g bigint, t bigint, pos bigint, low bigint, high bigint"
-    )
+    return texts.select("t", "text").mapInArrow(run, _ANCHORS)
 
 
-def _neighbourhoods(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The bytes around each anchor that occurs twice: (g, t, pos, before, bytes)."""
+def _neighbourhoods(anchors: DataFrame) -> DataFrame:
+    """The rows of anchors that occur twice, once for each place."""
     occurrence = F.xxhash64("t", "pos")
     # In a table of its own, so that the join below can split a frequent anchor's rows.
     twice = stored(
         anchors.groupBy("g")
-        .agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"))
-        .where("a <> b")
+        .agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.max(F.col("last") > F.col("pos")).alias("chain"))
+        .where("a <> b OR chain")
         .select("g")
     )
-    # A set, so that the list of a text that has copies is bounded by the text.
-    per_text = (
-        anchors.join(twice, "g", "left_semi")
-        .groupBy("t")
-        .agg(F.collect_set(F.struct("g", "pos", "low", "high")).alias("found"))
+    # Tasks that hold copies of one text give its rows more than once.
+    return stored(anchors.join(twice, "g", "left_semi").distinct())
+
+
+def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bytes of chosen neighbourhoods, (g, k1, k2, classes, bytes), from rows with t, low, size."""
+    # At most what a text holds itself, as each neighbourhood is chosen once.
+    per_text = wanted.groupBy(F.col("t").alias("w_t")).agg(
+        F.collect_list(F.struct("g", "k1", "k2", "classes", "low", "size")).alias("found")
     )
     one_of_each = texts.groupBy("t").agg(F.min("doc_id").alias("rep"))
-    wanted = per_text.join(one_of_each, "t").withColumnRenamed("t", "w_t")
+    chosen = per_text.join(one_of_each, F.col("w_t") == F.col("t")).select("w_t", "rep", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for t, text, found in zip(*(batch.column(i) for i in range(3))):
+            for i in range(batch.num_rows):
                 # Repeated rows share id and text.
-                if t.as_py() in seen:
+                t = batch.column(0)[i].as_py()
+                if t in seen:
                     continue
-                seen.add(t.as_py())
-                data = text.as_py().encode()
-                rows = found.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["g"] for r in rows], pa.int64()),
-                        pa.array([t.as_py()] * len(rows), pa.int64()),
-                        pa.array([r["pos"] for r in rows], pa.int64()),
-                        pa.array([r["pos"] - r["low"] for r in rows], pa.int64()),
-                        pa.array([data[r["low"] : r["high"] + LENGTH] for r in rows], pa.binary()),
-                    ],
-                    ["g", "t", "pos", "before", "bytes"],
-                )
+                seen.add(t)
+                data = batch.column(1)[i].as_py().encode()
+                rows = batch.column(2)[i].values
+                low = rows.field("low").to_numpy(zero_copy_only=False)
+                size = rows.field("size").to_numpy(zero_copy_only=False)
+                # A bounded number of bytes at a time, however much a text's pieces overlap.
+                run = np.cumsum(size) // _BATCH_BYTES
+                for k in np.unique(run):
+                    part = np.flatnonzero(run == k)
+                    pieces = [data[a : a + n] for a, n in zip(low[part].tolist(), size[part].tolist())]
+                    names = ["g", "k1", "k2", "classes"]
+                    columns = [rows.field(n).slice(int(part[0]), len(part)) for n in names]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(pieces, pa.binary())], [*names, "bytes"]
+                    )
 
     met = (F.col("t") == F.col("w_t")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    cuts = texts.join(wanted, met).select("t", "text", "found").mapInArrow(
-        cut, "g bigint, t bigint, pos bigint, before bigint, bytes binary"
-    )
-    # Two hashes tell different neighbourhoods of one anchor apart.
-    return stored(
-        cuts.withColumn("k1", F.xxhash64("g", "before", "bytes")).withColumn(
-            "k2", F.xxhash64(F.lit("n"), "bytes")
-        )
+    return texts.join(chosen, met).select("t", "text", "found").mapInArrow(
+        cut, "g bigint, k1 bigint, k2 bigint, classes bigint, bytes binary"
     )
 
 
@@ -341,47 +374,48 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
     ``texts`` has t, doc_id, text. Ranges may overlap. Copies of whole texts are not listed.
     """
-    anchors = stored(_anchors(texts))
-    near = _neighbourhoods(texts, anchors)
+    near = _neighbourhoods(stored(_anchors(texts)))
     occurrence = F.xxhash64("t", "pos")
-    classes = near.groupBy("g", "k1", "k2").agg(
-        F.min(F.octet_length("bytes")).alias("size"),
-        F.min(occurrence).alias("a"),
-        F.max(occurrence).alias("b"),
-        F.min(F.struct("t", "pos")).alias("rep"),
+    # Two hashes tell different neighbourhoods apart, so bytes are cut once for each.
+    classes = stored(
+        near.groupBy("g", "k1", "k2").agg(
+            F.min("size").alias("size"),
+            F.min(occurrence).alias("a"),
+            F.max(occurrence).alias("b"),
+            F.max(F.col("last") > F.col("pos")).alias("chain"),
+            F.min(F.struct("t", "pos", "before")).alias("rep"),
+        )
     )
-    classes = stored(classes)
     several = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
-    total = classes.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // _BUCKET_BYTES))
-    # One neighbourhood of each class keeps its bytes.
-    chosen = (
-        near.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-        .where(F.struct("t", "pos") == F.col("rep"))
-        .select("g", "k1", "k2", "bytes")
-        .join(several, "g")
+    compared = stored(
+        classes.join(several, "g").select(
+            "g", "k1", "k2", "classes", "rep.t", (F.col("rep.pos") - F.col("rep.before")).alias("low"), "size"
+        )
     )
-    few = chosen.where(F.col("classes") <= _MOST).select(
-        "k1", "k2", "bytes", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket")
+    total = compared.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-total // _BUCKET_BYTES))
+    chosen = stored(_cut(texts, compared))
+    # A given number of partitions, as the work on a bucket is more than its bytes tell.
+    few = (
+        chosen.where(F.col("classes") <= _MOST)
+        .select("k1", "k2", "bytes", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
+        .repartition(min(buckets, _MOST_TASKS), "bucket")
     )
     many = chosen.where(F.col("classes") > _MOST)
     runs = _repeats_by_merge(few).unionByName(_repeats_by_hash(many))
     # All strings of a neighbourhood that occurs twice are repeated.
-    copied = classes.where("a <> b").select(
+    copied = classes.where("a <> b OR chain").select(
         "k1", "k2", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).cast("long").alias("last")
     )
-    found = stored(runs.unionByName(copied))
-    low = F.col("pos") - F.col("before")
+    found = stored(runs.unionByName(copied)).withColumnRenamed("last", "to")
     return (
-        near.select("k1", "k2", "t", "pos", "before")
-        .distinct()
-        .join(found, ["k1", "k2"])
+        near.join(found, ["k1", "k2"])
         .groupBy("t")
         .agg(
             F.collect_set(
                 F.struct(
-                    (low + F.col("first")).alias("start"),
-                    (low + F.col("last") + LENGTH).alias("end"),
+                    (F.col("pos") - F.col("before") + F.col("first")).alias("start"),
+                    (F.col("last") - F.col("before") + F.col("to") + LENGTH).alias("end"),
                 )
             ).alias("ranges")
         )

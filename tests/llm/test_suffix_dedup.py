@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arledger.llm import suffix_dedup
+from arledger.llm.common import stored
 
 
 def brute_force(texts: list[str | None]) -> list[tuple]:
@@ -85,7 +86,28 @@ def test_copies_are_cut_once(documents):
     passage = word(1500)
     copied = word(300) + passage
     texts = [copied, copied, copied, passage + word(200), (0, copied), (0, copied)]
-    rows = suffix_dedup._texts(documents(*texts)).coalesce(2).localCheckpoint()
-    near = suffix_dedup._neighbourhoods(rows, suffix_dedup._anchors(rows))
+    rows = stored(suffix_dedup._texts(documents(*texts)).coalesce(2))
+    near = suffix_dedup._neighbourhoods(suffix_dedup._anchors(rows))
     places = near.groupBy("t", "pos").count().collect()
     assert places and {r["count"] for r in places} == {1}
+
+
+def test_periodic_texts_have_few_neighbourhoods(documents):
+    """Megabytes of a short period: a row per place in the period, and every byte goes."""
+    texts = ["x" * 3_000_000, "ab" * 500_000, "abcdefghij " * 60_000, "x" * 399, "tail " + "x" * 500 + " end"]
+    rows = suffix_dedup._texts(documents(*texts))
+    assert suffix_dedup._anchors(rows).count() < 40
+    got = suffix_dedup.repeats_digest(documents(*texts)).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == [
+        (3_000_000, 3_000_000, 1), (1_000_000, 1_000_000, 1), (660_000, 660_000, 1), (399, 0, 0), (509, 500, 1),
+    ]
+
+
+def test_passage_at_even_distances(documents):
+    """A passage that comes again and again in one text, nearer and farther than its length."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    passage = word(700)
+    texts = [passage.join(word(n) for n in (5, 90, 90, 90, 3000, 3000, 3000, 7)), (passage + "Q") * 6, word(4000)]
+    got = suffix_dedup.repeats_digest(documents(*texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_force(texts)
