@@ -13,8 +13,8 @@ Both are found by grouping on the hashed key with the earliest line as an aggreg
 frequent line or a large group of near copies sends one row per line and key, never pairs. An
 edit distance check on the texts follows.
 
-Defined cases: lines shorter than ``min_chars`` stay, or, with ``short_copies``, go if they equal
-an earlier line; blank lines always stay; a null text stays null; a document that loses all its
+Defined cases: lines shorter than ``min_chars`` go only if they equal an earlier line, and without
+``short_copies`` not even then (the query and the pipeline have it); blank lines always stay; a null text stays null; a document that loses all its
 lines becomes an empty text; one that loses all but blank lines is left out on request; rows
 with equal doc_id and text count as one document and share its result; a null doc_id sorts
 first; an empty table gives an empty result; other columns pass through.
@@ -344,7 +344,7 @@ def dedup_lines(
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 (of the text that stays)."""
-    judged, columns = _judged(narrowed(docs, "doc_id", "text"), MIN_CHARS)
+    judged, columns = _judged(narrowed(docs, "doc_id", "text"), MIN_CHARS, short_copies=True)
     return judged.select(
         F.col(columns[0]).alias("doc_id"),
         F.greatest(F.col("__n"), F.lit(0)).cast("long").alias("n_lines"),

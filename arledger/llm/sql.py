@@ -1,15 +1,18 @@
 """SQL restatements of the operators, for another engine."""
 
-#: Near lines share a half (an edit leaves one alone), which keeps the comparison an equi-join.
+#: Near lines share a half (an edit leaves one alone), which keeps the comparison an equi-join. Lines
+#: under 20 characters are dropped only as exact repeats.
 LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), firsts AS (
   SELECT line, min(struct_pack(d := doc_id, n := line_no)) AS place, length(line) AS n
-  FROM lines WHERE length(line) >= 20 GROUP BY line
+  FROM lines WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+), long AS (
+  SELECT * FROM firsts WHERE n >= 20
 ), bases AS (
-  SELECT line, place, n, n AS base FROM firsts UNION ALL SELECT line, place, n, n - 1 FROM firsts
+  SELECT line, place, n, n AS base FROM long UNION ALL SELECT line, place, n, n - 1 FROM long
 ), halves AS (
   SELECT *, 'head' AS side, left(line, (base // 2)::BIGINT) AS half FROM bases
   UNION ALL SELECT *, 'tail', right(line, (base - base // 2)::BIGINT) FROM bases

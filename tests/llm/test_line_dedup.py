@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ def one_edit(a: str, b: str) -> bool:
     return a[at:] == b[at + 1 :] or a[at + 1 :] == b[at:] or a[at + 1 :] == b[at + 1 :]
 
 
-def brute_force(texts: list[str | None], least: int = 20) -> list[str | None]:
+def brute_force(texts: list[str | None], least: int = 20, short_copies: bool = False) -> list[str | None]:
     seen: list[str] = []
+    short: set[str] = set()
     out = []
     for text in texts:
         if text is None:
@@ -31,6 +33,9 @@ def brute_force(texts: list[str | None], least: int = 20) -> list[str | None]:
             )
             if len(line) >= least:
                 seen.append(line)
+            elif short_copies and line.strip(" \t\n\x0b\x0c\r"):
+                known = line in short
+                short.add(line)
             if not known:
                 kept.append(line)
         out.append("\n".join(kept))
@@ -97,3 +102,13 @@ def test_copies_of_short_lines(spark, documents):
     # Without it, short lines stay.
     kept = dedup_lines(documents(*texts)).orderBy("doc_id").collect()
     assert [r["text"] for r in kept][1] == "Ment que.\n \n\n}\n"
+
+
+def test_digest_drops_exact_repeats_of_short_lines(documents):
+    rng = random.Random(8)
+    words = ["short a", "short b", "short a ", " ", "", "x", "}", "a line that is long enough to be compared"]
+    texts = ["\n".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(30)] + [None]
+    want = brute_force(texts, short_copies=True)
+    assert want != brute_force(texts)
+    got = line_dedup_digest(documents(*texts)).orderBy("doc_id").collect()
+    assert [r["kept_sha256"] for r in got] == [hashlib.sha256((t or "").encode()).hexdigest() for t in want]
