@@ -1,38 +1,24 @@
 """Registered queries against their SQL.
 
 On sf0.01 row positions order the rows of every claim totally; on the smaller data they do
-not, so first and last values there are ties. One query per kind runs by default; with
-ALL_QUERIES=1 (or ``python tests/compare.py``) all of them do.
+not, so first and last values there are ties.
 """
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from compare import duck, duck_rows, spark_rows
 
 from checks.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.01"
-DEFAULT = (
-    "normalize_bucket grid_to_table read_snapshots_row_counts snapshot_row_counts write_report "
-    "landed_topline apply_filters_combined filter_options aging_summary employee_productivity "
-    "collection_summary money_texts topline_portfolio snapshot_summary_filtered aging_trend "
-    "bucket_growth delta_cards progression_series follow_up_stats follow_up_registry "
-    "follow_up_by_bucket follow_up_by_employee dashboard_cards stream_snapshot_summary "
-    "stream_aging_trend read_snapshots_csv read_snapshots_json read_snapshots_mixed clean_claims_dates "
-    "write_report_collection snapshot_deltas_tied net_improvement_incomplete board_cards board_registry"
-).split()
-NAMES = list(REGISTRY) if os.environ.get("ALL_QUERIES") else DEFAULT
-
 
 @pytest.fixture(scope="module")
 def connection():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", REGISTRY)
 def test_query(spark, connection, name):
     query, text = REGISTRY[name]
     got = spark_rows(query(spark, SF_DIR))
