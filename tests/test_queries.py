@@ -13,6 +13,7 @@ from checks.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.01"
 
+
 @pytest.fixture(scope="module")
 def connection():
     return duck(SF_DIR)
