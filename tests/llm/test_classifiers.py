@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arledger.llm import language, toxicity
@@ -68,6 +69,56 @@ def test_toxicity_frames(spark):
     assert none.agg(F.max("score")).first()[0] < 1e-6
 
 
+def test_voters_of_words_and_stems_are_apart():
+    n, kinds = 100, np.repeat((0, *toxicity.STEMS), 25)
+    entries = np.sort(toxicity.mix(np.arange(100, dtype=np.uint64)))
+    docs = np.arange(n)
+    votes = toxicity._votes(n, docs, docs, entries, kinds)
+    says = votes == 1
+    # No voter but the one that counts entries speaks for entries of two kinds.
+    across = [len(set(kinds[says[:, i]])) for i in range(says.shape[1]) if says[:, i].any()]
+    assert sorted(across)[-2:] == [1, len(toxicity.STEMS) + 1] and len(across) > 20
+    assert (toxicity.majority(votes) > 0).all()
+
+
+def test_a_word_is_one_entry():
+    [chunk] = toxicity.chunks(pa.array(["zorfil zorfan", None, "zorf"]))
+    rows, found, kinds, word = toxicity._features(chunk)
+    first, second = np.flatnonzero(word == 0), np.flatnonzero(word == 1)
+    assert list(kinds[first]) == [0, 4, 5, 6] and list(rows[first]) == [0] * 4
+    entries = np.sort(np.concatenate([found[first], found[second][kinds[second] == 5]]))
+    row, place = toxicity._entries_of(chunk, entries)
+    # The word itself, the five-byte stem of the other one, the stem of the last one.
+    expected = {(0, found[first[0]]), (0, found[second][kinds[second] == 5][0]), (2, found[first[1]])}
+    assert {(r, entries[i]) for r, i in zip(row, place)} == expected
+
+
+def test_counts_and_lexicon(spark):
+    docs, labels = _insults(spark)
+    sample = toxicity._sample(docs, labels, (2500, 7500))
+    rows = sample.collect()
+    counted = {r["feature"]: (r["bad"], r["of"]) for r in toxicity._counts(sample.repartition(3)).collect()}
+    expected: dict = {}
+    for row in rows:
+        [chunk] = toxicity.chunks(pa.array([row["text"]]))
+        for feature in set(toxicity._features(chunk)[1].view(np.int64).tolist()):
+            bad, of = expected.get(feature, (0, 0))
+            expected[feature] = (bad + row["toxic"], of + 1)
+    assert counted == {f: c for f, c in expected.items() if c[0]}
+    names, kinds = toxicity._lexicon(toxicity._counts(sample), 0.125, 1000)
+    assert len(names) and (np.diff(names.astype(object)) > 0).all()
+    few, _ = toxicity._lexicon(toxicity._counts(sample), 0.125, 3)
+    assert len(few) == 3 and set(few) <= set(names)
+
+
+def test_very_long_and_empty_texts(spark):
+    docs, labels = _insults(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    clean = "na kesa " * 300_000
+    scores = model.scores(pa.array([clean, clean + "zorfil brukk zorfuck zorfan", "", None, "123"]))
+    assert scores[0] == scores[2] == scores[3] == scores[4] and scores[1] > 0.5 > scores[0]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     odd = spark.createDataFrame(
