@@ -11,10 +11,12 @@ groups meet the other blocks that the same bound does not rule out, and the best
 kept. Pivots and block size only steer the work; results are exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
-shorter vectors count as filled up with zeros; equal scores go to the smaller id; repeated
-rows of one id count as one vector; a query with fewer candidates gets all of them; an empty
-table gives an empty result; other columns do not matter. Components may be as large as
-2**20 after scaling, where double products are exact.
+shorter vectors count as filled up with zeros; equal scores go to the smaller id; every row is a
+candidate and, if its id says so, a query of its own, also where rows share an id or are equal: such a
+query meets all rows but itself, and rows that share an id give a result each; a query with fewer
+candidates gets all of them; an empty table gives an empty result; other columns do not matter.
+Scores are exact: vectors whose squared length reaches 2**53 after scaling, beyond which sums of
+products in doubles may round, are refused with an error.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from arledger.llm.common import stored
 
-#: Vectors that the pivots are taken from: as many as there are pivots.
-PIVOTS = 16
+#: Pivots: one per block of rows, between these bounds.
+PIVOTS = (16, 1024)
 BLOCK_ROWS = 4096
 #: Query groups that meet a block's tree in one row.
 _GROUPS = 256
@@ -122,10 +124,11 @@ class Best:
 
 
 def dual_search(
-    queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray,
-    data_tree: CoverTree, best: Best,
+    queries: np.ndarray, query_keys: np.ndarray, data: np.ndarray, data_keys: np.ndarray,
+    data_ids: np.ndarray, data_tree: CoverTree, best: Best,
 ) -> None:
-    """Offers to ``best`` all products that can matter. A query never meets its own id."""
+    """Offers to ``best`` all products that can matter. A query never meets its own row, which
+    keys tell apart."""
     if not len(queries) or not len(data):
         return
     q = CoverTree(queries)
@@ -146,7 +149,7 @@ def dual_search(
         if not below_a and not below_b:
             at = data_tree.order[slice(*data_tree.range[b])]
             scores = queries[rows] @ data[at].T
-            scores[query_ids[rows][:, None] == data_ids[at][None, :]] = -np.inf
+            scores[query_keys[rows][:, None] == data_keys[at][None, :]] = -np.inf
             best.offer(rows, scores, data_ids[at])
         elif below_a and (not below_b or q.radius[a] > data_tree.radius[b]):
             stack += sorted((bound(x, b), x, b) for x in below_a)
@@ -161,10 +164,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _found(best: Best, query_ids: np.ndarray) -> pd.DataFrame:
+def _found(best: Best, query_keys: np.ndarray, query_ids: np.ndarray) -> pd.DataFrame:
     real = best.score > -np.inf
     return pd.DataFrame(
         {
+            "query_key": np.repeat(query_keys, real.sum(axis=1)),
             "query_id": np.repeat(query_ids, real.sum(axis=1)),
             "vec_id": best.id[real],
             "score": best.score[real].astype(np.int64),
@@ -172,28 +176,32 @@ def _found(best: Best, query_ids: np.ndarray) -> pd.DataFrame:
     )
 
 
-def _dealt(vectors: DataFrame, width: int) -> DataFrame:
-    """(vec_id, v, block): nearest pivot, large cells salted into blocks of bounded size."""
-    order = F.xxhash64("vec_id")
-    picked = vectors.orderBy(order, "vec_id").limit(PIVOTS).toArrow()
+def _dealt(vectors: DataFrame, width: int, rows: int) -> DataFrame:
+    """(key, vec_id, v, block): nearest pivot, large cells salted into blocks of bounded size."""
+    order = F.xxhash64("vec_id", "v")
+    wanted = min(max(PIVOTS[0], -(-rows // BLOCK_ROWS)), PIVOTS[1])
+    picked = vectors.orderBy(order, "vec_id").limit(wanted).toArrow()
     pivots = _matrix(picked.column("v"), width)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), width)
+            v = _matrix(batch.column("v"), width)
             gap = (pivots**2).sum(axis=1)[None, :] - 2 * v @ pivots.T
             cell = pa.array(gap.argmin(axis=1).astype(np.int32))
             packed = pa.array([row.tobytes() for row in v], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, cell], ["vec_id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("vec_id"), packed, cell],
+                ["key", "vec_id", "v", "cell"],
+            )
 
-    cells = stored(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v binary, cell int"))
+    cells = stored(vectors.mapInArrow(assign, "key bigint, vec_id bigint, v binary, cell int"))
     blocks = {
         r["cell"]: -(-r["count"] // BLOCK_ROWS) for r in cells.groupBy("cell").count().collect()
     }
     of_cell = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
-    salt = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.element_at(of_cell, F.col("cell")))
+    salt = F.pmod(F.xxhash64(F.lit(3), "key"), F.element_at(of_cell, F.col("cell")))
     return cells.select(
-        "vec_id", "v", (F.col("cell").cast("long") * (1 << 40) + salt).alias("block")
+        "key", "vec_id", "v", (F.col("cell").cast("long") * (1 << 40) + salt).alias("block")
     )
 
 
@@ -201,7 +209,7 @@ def top_products(
     embeddings: DataFrame, k: int = 5, query_every: int = 50, id_column: str = "vec_id"
 ) -> DataFrame:
     """For each row whose id is divisible by ``query_every``: query_id, rank, vec_id, score."""
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    schema = "query_key bigint, query_id bigint, vec_id bigint, score bigint"
     spark = embeddings.sparkSession
     vectors = stored(
         embeddings.select(
@@ -209,34 +217,38 @@ def top_products(
             scaled(F.col("embedding")).alias("v"),
         )
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-        .dropDuplicates(["vec_id"])
+        .withColumn("key", F.monotonically_increasing_id())
     )
-    width = vectors.agg(F.max(F.size("v"))).first()[0]
+    # Keys are fixed from here on, because they are read from the stored table.
+    width, rows, longest = vectors.agg(
+        F.max(F.size("v")), F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    ).first()
+    if longest is not None and not longest < 2.0**53:
+        raise ValueError("vectors are too long after scaling for exact products in doubles")
     if not width:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    dealt = _dealt(vectors, width)
-
-    def unpack(ids: pd.Series, packed: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        v = np.frombuffer(b"".join(packed), np.float64).reshape(-1, width)
-        return ids.to_numpy(np.int64), v
+    dealt = _dealt(vectors, width, rows)
 
     def summarize(rows: pd.DataFrame) -> pd.DataFrame:
         """A block: its vectors, its queries with their kth scores, centres and radii."""
-        rows = rows.sort_values("vec_id")
-        ids, v = unpack(rows["vec_id"], rows["v"])
+        rows = rows.sort_values(["vec_id", "key"])
+        keys, ids = rows["key"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64)
+        v = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(-1, width)
         asked = ids % query_every == 0
         best, tree = Best(int(asked.sum()), k), CoverTree(v)
-        dual_search(v[asked], ids[asked], v, ids, tree, best)
+        dual_search(v[asked], keys[asked], v, keys, ids, tree, best)
         q = v[asked]
         centre = q.mean(axis=0) if len(q) else np.zeros(width)
         far = float(np.sqrt(((q - centre) ** 2).sum(axis=1)).max()) if len(q) else 0.0
         return pd.DataFrame(
             {
                 "block": [int(rows["block"].iloc[0])],
+                "keys": [keys.tobytes()],
                 "ids": [ids.tobytes()],
-                "v": [v.astype(np.int32).tobytes() if np.abs(v).max() < 2**31 else v.tobytes()],
+                "v": [v.astype(np.int32).tobytes()],  # the bound on lengths keeps them below 2**27
                 "centre": [tree.centre[0]],
                 "radius": [tree.radius[0]],
+                "q_keys": [keys[asked].tobytes()],
                 "q_ids": [ids[asked].tobytes()],
                 "q_v": [q.tobytes()],
                 "q_centre": [centre],
@@ -250,8 +262,8 @@ def top_products(
     blocks = stored(
         dealt.groupBy("block").applyInPandas(
             summarize,
-            "block bigint, ids binary, v binary, centre array<double>, radius double, "
-            "q_ids binary, q_v binary, q_centre array<double>, q_radius double, "
+            "block bigint, keys binary, ids binary, v binary, centre array<double>, radius double, "
+            "q_keys binary, q_ids binary, q_v binary, q_centre array<double>, q_radius double, "
             "q_score binary, q_best binary, q_worst double",
         )
     )
@@ -263,20 +275,19 @@ def top_products(
                 best = Best(len(ids), k)
                 best.score = np.frombuffer(row.q_score, np.float64).reshape(-1, k)
                 best.id = np.frombuffer(row.q_best, np.int64).reshape(-1, k)
-                yield _found(best, ids)
+                yield _found(best, np.frombuffer(row.q_keys, np.int64), ids)
 
-    local = blocks.select("q_ids", "q_score", "q_best").mapInPandas(own, schema)
+    local = blocks.select("q_keys", "q_ids", "q_score", "q_best").mapInPandas(own, schema)
     pairs = _block_pairs(blocks)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                small = len(row.v) == 4 * width * len(ids)
-                data = np.frombuffer(row.v, np.int32 if small else np.float64)
-                data = data.reshape(-1, width).astype(np.float64)
+                keys, ids = np.frombuffer(row.keys, np.int64), np.frombuffer(row.ids, np.int64)
+                data = np.frombuffer(row.v, np.int32).reshape(-1, width).astype(np.float64)
                 tree = CoverTree(data)
                 for group in row.groups:
+                    q_keys = np.frombuffer(group["q_keys"], np.int64)
                     q_ids = np.frombuffer(group["q_ids"], np.int64)
                     q = np.frombuffer(group["q_v"], np.float64).reshape(-1, width)
                     score = np.frombuffer(group["q_score"], np.float64).reshape(-1, k)
@@ -284,24 +295,24 @@ def top_products(
                     # Only the known kth score counts here; its own rows come from ``local``.
                     best.score[:] = score[:, -1:]
                     known = best.score.copy()
-                    dual_search(q, q_ids, data, ids, tree, best)
+                    dual_search(q, q_keys, data, keys, ids, tree, best)
                     fresh = best.id != np.iinfo(np.int64).max
                     best.score = np.where(fresh, best.score, -np.inf)
                     if fresh.any() and known.size:
-                        yield _found(best, q_ids)
+                        yield _found(best, q_keys, q_ids)
 
     asked = blocks.select(
-        F.col("block").alias("q_block"), F.struct("q_ids", "q_v", "q_score").alias("group")
+        F.col("block").alias("q_block"), F.struct("q_keys", "q_ids", "q_v", "q_score").alias("group")
     )
     batched = (
         pairs.join(asked, "q_block")
         .groupBy("block", "chunk")
         .agg(F.collect_list("group").alias("groups"))
-        .join(blocks.select("block", "ids", "v"), "block")
-        .select("ids", "v", "groups")
+        .join(blocks.select("block", "keys", "ids", "v"), "block")
+        .select("keys", "ids", "v", "groups")
     )
     others = batched.mapInPandas(meet, schema)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return (
         local.unionByName(others)
         .withColumn("rank", F.row_number().over(ranked))

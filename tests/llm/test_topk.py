@@ -6,19 +6,24 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from arledger.llm import topk
 
 
 def brute_force(rows: list) -> list[tuple]:
-    vectors = {}
-    for i, v in rows:
-        if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[i] = [math.floor(256 * x) for x in v]
+    vectors = [
+        (i, [math.floor(256 * x) for x in v])
+        for i, v in rows
+        if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = []
-    for q, a in vectors.items():
+    for at, (q, a) in enumerate(vectors):
         if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q)
+            scores = sorted(
+                (-sum(x * y for x, y in zip(a, b)), i) for k, (i, b) in enumerate(vectors) if k != at
+            )
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)]
     return sorted(out)
 
@@ -36,6 +41,23 @@ def test_against_all_products(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-3.0, 0.5]), (7, [1.0, 2.0]), (7, [2.0, 2.0]), (50, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    frame = frame.withColumn("key", F.lit("clash")).withColumn("v", F.lit(1)).withColumn("block", F.lit(0))
+    got = sorted(tuple(r) for r in topk.top_products(frame).collect())
+    assert got == brute_force(rows) and len(got) == 20
+
+
+def test_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [200_000.5, -3.0]), (1, [150_000.25, 7.0]), (2, [-1.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.top_products(spark.createDataFrame(rows, schema)).collect())
+    assert got == brute_force(rows)
+    with pytest.raises(ValueError):
+        topk.top_products(spark.createDataFrame([*rows, (3, [1e30, 0.0])], schema))
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     two = spark.createDataFrame([(0, [1.0, 2.0], 1), (3, [1.0, 0.5], 1)], schema)
