@@ -210,7 +210,7 @@ def _presence(sample: DataFrame, entries: np.ndarray) -> tuple[int, np.ndarray,
                 packed = [entry[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["entries"])
 
-    got = sample.select("text").mapInArrow(find, "entries binary").orderBy("entries").toArrow()
+    got = sample.select("text").mapInArrow(find, "entries binary").toArrow().sort_by("entries")
     at = [np.frombuffer(x.as_buffer(), np.int64) for x in got.column("entries")]
     docs = np.repeat(np.arange(len(at)), [len(x) for x in at])
     return len(at), docs, np.concatenate(at) if at else np.zeros(0, np.int64)
