@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arledger.llm.common import stored, table
+from arledger.llm.common import discard, stored_at, table
 from arledger.llm.line_dedup import dedup_lines
 from arledger.llm.mixing import mixed_texts
 from arledger.llm.ngram_join import drop_near_copies
@@ -61,8 +61,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's result is written and read again, and removed once
+    the next one has been written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, fresh = stored_at(stage(spark, docs, sf_dir))
+        if path is not None:
+            discard(spark, path)
+        path = fresh
     return STAGES[-1][1](spark, docs, sf_dir)
