@@ -8,6 +8,8 @@ the claims serves any number of metric tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def is_done(balance: Column) -> Column:
     return F.coalesce(balance.try_cast("double") <= 0, F.lit(False))
 
 
-def claim_measures(df: DataFrame) -> DataFrame:
-    """Claims -> sheet keys, aging_bucket and worked_by (where present) and measures.
+def claim_measures(df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Claims -> sheet keys, ``more`` columns, aging_bucket and worked_by (where present) and
+    measures.
 
     Frames that hold measures already pass through. A measure whose column is missing is
     left out, so that ``need`` can name it.
@@ -45,7 +48,7 @@ def claim_measures(df: DataFrame) -> DataFrame:
     if "n_claims" in df.columns:
         return df
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    cells = [F.col(name) for name in sheet_keys(df)]
+    cells = [F.col(name) for name in (*sheet_keys(df), *more)]
     for role in _DIMENSIONS:
         if name := resolve(df, role):
             cells.append(F.col(name).alias(role))
@@ -77,9 +80,9 @@ def total(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0))
 
 
-def condense(df: DataFrame) -> DataFrame:
-    """Measures added up per sheet, bucket and worker."""
-    measured = claim_measures(df)
+def condense(df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Measures added up per sheet, bucket, worker and ``more`` columns."""
+    measured = claim_measures(df, more)
     keys = [c for c in measured.columns if c not in MEASURES]
     sums = [F.sum(c).alias(c) for c in measured.columns if c in MEASURES]
     return measured.groupBy(*keys).agg(*sums)

@@ -129,7 +129,8 @@ def _touch_aggregates(df: DataFrame) -> list[Column]:
     return [unique.alias("unique_claims_touched"), touches.alias("total_touches")]
 
 
-def _average_touches() -> Column:
+def average_touches() -> Column:
+    """Touches per claim from the two counts, zero for none."""
     per_claim = F.try_divide(F.col("total_touches"), F.col("unique_claims_touched"))
     return F.coalesce(per_claim, F.lit(0.0)).alias("average_touches_per_claim")
 
@@ -150,7 +151,7 @@ def employee_productivity(
     counted = (
         df.filter(F.col(worker).isNotNull()).groupBy(*keys).agg(*_touch_aggregates(df))
     )
-    return counted.select("*", _average_touches())
+    return counted.select("*", average_touches())
 
 
 def aging_worked(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
