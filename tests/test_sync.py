@@ -138,3 +138,11 @@ def test_board_of_sums_equals_the_dashboard(spark, tmp_path):
     # A sheet without dates leaves "everything ticked" as it is.
     put(source, "2026-05-18", "a.csv", "p1,c1,eve,,100,20,31-45", "p1,c1,eve,2026-05-12,100,20,31-45", header=FULL)
     assert [r["worked_by"] for r in check().current_productivity.collect()] == ["eve"]
+
+
+def test_board_of_an_empty_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sync.sync_files(spark, str(tmp_path / "in"), str(tmp_path / "store"))
+    board = sync.synced_board(spark, str(tmp_path / "store"))
+    assert [tuple(r) for r in board.cards.collect()] == [(0, 0, 0, 0.0, 0.0, 0)]
+    assert board.productivity.count() == board.topline.count() == board.worked_vs_recovered.count() == 0
