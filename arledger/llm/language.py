@@ -194,8 +194,15 @@ def _sample(docs: DataFrame, per_language: int) -> pa.Table:
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     hashed = F.xxhash64("doc_id")
+    # The smallest hashes are taken. A language's size tells below which value they lie with plenty to
+    # spare, so that ranking meets few rows of a large language.
+    sizes = rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__rows"))
+    place = hashed / F.lit(2.0**64) + 0.5
+    low = (F.col("lang") == F.col("__lang")) & (place * F.col("__rows") < 4.0 * per_language)
     ranked = (
         rows.select("doc_id", "lang")
+        .join(sizes, low)
+        .select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id")))
         .where(F.col("rank") <= per_language)
         .orderBy("rank", "lang")
