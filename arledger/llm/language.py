@@ -195,13 +195,16 @@ def _sample(docs: DataFrame, per_language: int) -> pa.Table:
     )
     hashed = F.xxhash64("doc_id")
     # The smallest hashes are taken. A language's size tells below which value they lie with plenty to
-    # spare, so that ranking meets few rows of a large language.
+    # spare, so that ranking meets few rows of a large language. Sizes of the SAMPLE_TOTAL largest
+    # ones are broadcast, rows of smaller ones all go on.
     sizes = rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__rows"))
+    sizes = F.broadcast(sizes.orderBy(F.desc("__rows"), "__lang").limit(SAMPLE_TOTAL))
     place = hashed / F.lit(2.0**64) + 0.5
-    low = (F.col("lang") == F.col("__lang")) & (place * F.col("__rows") < 4.0 * per_language)
+    low = F.col("__rows").isNull() | (place * F.col("__rows") < 4.0 * per_language)
     ranked = (
         rows.select("doc_id", "lang")
-        .join(sizes, low)
+        .join(sizes, F.col("lang") == F.col("__lang"), "left")
+        .where(low)
         .select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id")))
         .where(F.col("rank") <= per_language)
