@@ -143,9 +143,7 @@ def _land(rows: DataFrame, columns: list[str], store: str, version: str) -> None
     spark = rows.sparkSession
     place = f"{store}/rows/version={version}"
     text = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
-    rows.select(
-        "row_pos", *text, parse_snapshot_date(F.col("sheet_name")).alias("snapshot_date"), "sheet_name"
-    ).hint("rebalance", "sheet_name").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(place)
+    rows.select("row_pos", *text, "snapshot_date", "sheet_name").hint("rebalance", "sheet_name").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(place)
     schema = ["row_pos decimal(38,0)", *(f"`{c}` string" for c in columns), "snapshot_date timestamp, sheet_name string"]
     landed = spark.read.schema(", ".join(schema)).parquet(place)
     for role in ("balance", "worked_by", "aging_bucket"):
