@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arledger.operators.snapshots import parse_snapshot_date
+from arledger.session import shuffles_removed
 
 PARTITIONS = ("snapshot_date", "sheet_name")
+#: Of landed files: about a quarter smaller than with Spark's default.
+CODEC = "zstd"
 
 
 def land_snapshots(df: DataFrame, path: str, mode: str = "overwrite", spread: bool = True) -> None:
@@ -23,8 +26,9 @@ def land_snapshots(df: DataFrame, path: str, mode: str = "overwrite", spread: bo
     tagged = df
     if "snapshot_date" not in df.columns:
         tagged = df.withColumn("snapshot_date", parse_snapshot_date(F.col("sheet_name")))
-    rows = tagged.hint("rebalance", "sheet_name") if spread else tagged
-    rows.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        rows = tagged.hint("rebalance", "sheet_name") if spread else tagged.select("*")
+        rows.write.mode(mode).partitionBy(*PARTITIONS).parquet(path, compression=CODEC)
 
 
 def landed_schema(df: DataFrame) -> T.StructType:

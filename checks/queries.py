@@ -17,6 +17,7 @@ from arledger.operators.cleaning import clean_claims
 from arledger.plans import trend
 from arledger.plans.dashboard import Dashboard, dashboard, filtered_claims
 from arledger.plans.manifest import sheet_manifest
+from arledger.session import shuffles_removed
 from arledger.sources import files, grid, landing, reports
 from arledger.sources import snapshots as sheets
 from arledger.streaming import refresh, sync
@@ -880,14 +881,14 @@ def _streamed_store(spark: SparkSession, sf_dir: str) -> str:
     """Raw rows written as snapshot files, then taken in by the stream until all is read."""
     store = _scratch(spark, "stream")
     source = f"{store}/in"
-    raw = claims_raw(spark, sf_dir).select("sheet_name", *DATA_COLUMNS)
-    (
-        raw.withColumn("sheet", F.replace(F.col("sheet_name"), F.lit("/"), F.lit("-")))
-        .drop("sheet_name")
-        .hint("rebalance", "sheet")
-        .write.partitionBy("sheet")
-        .parquet(f"{source}")
-    )
+    with shuffles_removed(spark):
+        raw = claims_raw(spark, sf_dir).select("sheet_name", *DATA_COLUMNS)
+        (
+            raw.withColumn("sheet", F.replace(F.col("sheet_name"), F.lit("/"), F.lit("-")))
+            .drop("sheet_name")
+            .write.partitionBy("sheet")
+            .parquet(f"{source}", compression=landing.CODEC)
+        )
     stream = refresh.stream_snapshots(spark, source, DATA_COLUMNS, "parquet")
     stream = stream.withColumn("sheet_name", F.regexp_replace("sheet_name", "^sheet=", ""))
     query = refresh.refresh_metrics(stream, store, every=None)
