@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from arledger.fixed_values import MISSING_ID
 from arledger.functions.text import touch_label
 from arledger.operators.columns import resolve
 from arledger.operators.filters import worked_rows
@@ -27,6 +29,14 @@ def _last_known(name: str, order: Sequence[str]) -> Column:
     return F.max_by(name, _known_position(name, order))
 
 
+def _ids_of_key(key: str) -> tuple[Column, Column, Column]:
+    """Whether a key can have come from one pair of ids only, and these: it has one ``_``, so there is
+    none in the ids, and neither part is the mark of a missing id."""
+    parts = F.substring_index(key, "_", 1), F.substring_index(key, "_", -1)
+    single = F.char_length(key) - F.char_length(F.replace(F.col(key), F.lit("_"), F.lit(""))) == 1
+    return single & (parts[0] != MISSING_ID) & (parts[1] != MISSING_ID), *parts
+
+
 def follow_up_stats(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """One row per worked claim: touches, distinct workers and days, first and last values.
 
@@ -36,15 +46,19 @@ def follow_up_stats(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFram
     One aggregate by claim, so rows are shuffled once, after tasks have added up theirs.
     Workers and days are collected as sets, which hold at most all workers and all days,
     also for the key that rows without ids share; counting two distinct columns would
-    multiply the rows instead. First and last values are minima of (position, value).
+    multiply the rows instead. First and last values are minima of (position, value). Ids that the
+    key tells are read from it and not carried through the shuffle.
     """
     worked = with_claim_key(worked_rows(df))
-    position = F.struct(*order)
+    told, *of_key = _ids_of_key("composite_key")
+    ids = {}
+    if "composite_key" not in df.columns:
+        ids = {n: c for n, c in zip(("patient_id", "claim_id"), of_key) if df.schema[n].dataType == T.StringType()}
 
     def value(name: str, pick: Callable[[Column], Column]) -> Column:
-        known = F.col(name).isNotNull()
-        at = F.struct(position.alias("at"), F.col(name).alias("v"))
-        return pick(F.when(known, at))["v"]
+        known = F.col(name).isNotNull() & ~told if name in ids else F.col(name).isNotNull()
+        found = pick(F.when(known, F.struct(*order, F.col(name).alias("_v"))))["_v"]
+        return F.coalesce(found, F.when(told, ids[name])) if name in ids else found
 
     stats = worked.groupBy("composite_key").agg(
         F.count(F.lit(1)).alias("touch_count"),

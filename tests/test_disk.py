@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_large import plan_of, write_tables
 
 from arledger.operators.cleaning import clean_claims
+from arledger.operators.followup import follow_up_stats
 from arledger.operators.measures import MEASURES
 from arledger.session import shuffles_removed
 from arledger.sources.landing import materialize
@@ -92,3 +93,26 @@ def test_streamed_rows_are_dealt_out_to_the_state_alone(spark, tmp_path):
     finally:
         type(spark.range(0)).hint = shuffled
     assert sum(r["total_claims"] for r in rows) == 8 and "rebalance" not in made
+
+
+def test_follow_up_ids_are_read_from_the_key(spark, make_claims):
+    """Ids with underscores, empty ones, missing ones and the mark of a missing one, in every pairing."""
+    ids = ["p", "p_q", "q", "", "_", "<NA>", None]
+    rows = [
+        {"sheet_name": "2026-05-04", "patient_id": p, "claim_id": c, "report_worked_by": "ann", "claim_balance": "5"}
+        for p in ids for c in ids for _ in range(2)
+    ]
+    claims = make_claims(*rows, partitions=3)
+    stats = follow_up_stats(claims)
+    assert "named_struct(at" not in plan_of(stats)
+    got = {r["composite_key"]: (r["touch_count"], r["patient_id"], r["claim_id"]) for r in stats.collect()}
+    want = {}
+    for row in rows:
+        p, c = row["patient_id"], row["claim_id"]
+        key = f"{'<NA>' if p is None else p}_{'<NA>' if c is None else c}"
+        n, first_p, first_c = want.get(key, (0, None, None))
+        want[key] = (n + 1, p if first_p is None else first_p, c if first_c is None else first_c)
+    assert got == want
+    # A key that was given may hold anything.
+    given = follow_up_stats(claims.withColumn("composite_key", F.lit("x_y"))).collect()
+    assert [(r["touch_count"], r["patient_id"], r["claim_id"]) for r in given] == [(98, "p", "p")]
