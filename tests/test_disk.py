@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from test_large import plan_of, write_tables
 
 from arledger.operators.cleaning import clean_claims
 from arledger.operators.followup import follow_up_stats
 from arledger.operators.measures import MEASURES
-from arledger.session import shuffles_removed
+from arledger.session import lean_writes
+from arledger.sources import files, reports
 from arledger.sources.landing import materialize
+from arledger.sources.snapshots import read_snapshots
 from arledger.streaming import refresh
 from checks import queries
 from checks.claims_raw import claims_raw
@@ -50,7 +53,7 @@ def test_landing_leaves_no_shuffle_files(spark, tmp_path):
 def test_the_session_keeps_its_own_setting(spark):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
-    with shuffles_removed(spark):
+    with lean_writes(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name) == before
 
@@ -102,7 +105,7 @@ def test_follow_up_ids_are_read_from_the_key(spark, make_claims):
         {"sheet_name": "2026-05-04", "patient_id": p, "claim_id": c, "report_worked_by": "ann", "claim_balance": "5"}
         for p in ids for c in ids for _ in range(2)
     ]
-    claims = make_claims(*rows, partitions=3)
+    claims = make_claims(*rows, partitions=3).withColumn("claim_balance", F.col("claim_balance").cast("double"))
     stats = follow_up_stats(claims)
     assert "named_struct(at" not in plan_of(stats)
     got = {r["composite_key"]: (r["touch_count"], r["patient_id"], r["claim_id"]) for r in stats.collect()}
@@ -116,3 +119,34 @@ def test_follow_up_ids_are_read_from_the_key(spark, make_claims):
     # A key that was given may hold anything.
     given = follow_up_stats(claims.withColumn("composite_key", F.lit("x_y"))).collect()
     assert [(r["touch_count"], r["patient_id"], r["claim_id"]) for r in given] == [(98, "p", "p")]
+
+
+def test_compressed_files_are_read_in_splits(spark, tmp_path):
+    """Rows of a bzip2 file read by many tasks keep their order and are all there."""
+    rows = spark.range(60_000).select(F.col("id").alias("Claim ID"), F.md5(F.col("id").cast("string")).alias("Note"))
+    reports.write_report(rows.coalesce(1), str(tmp_path / "2026-05-04"), compression="bzip2")
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for name in before:
+        spark.conf.set(name, "300k")
+    try:
+        read = read_snapshots(spark, str(tmp_path), glob="part-*")
+        assert read.rdd.getNumPartitions() > 2
+        got = [(int(r["claim_id"]), r["note"]) for r in read.orderBy("row_pos").collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == [(r[0], r[1]) for r in rows.orderBy("Claim ID").collect()]
+
+
+def test_files_of_headers_are_compressed_and_their_rows_go(spark, tmp_path):
+    write_tables(spark, tmp_path, [(n, 100.0 + n) for n in range(1, 9)])
+    shared = files.shared_folder(spark)
+    before = set(os.listdir(f"{shared}/arledger")) if os.path.isdir(f"{shared}/arledger") else set()
+    rows = queries.REGISTRY["stream_differing_headers"][0](spark, str(tmp_path)).collect()
+    assert sum(r["total_claims"] for r in rows) == 8
+    (store,) = (n for n in set(os.listdir(f"{shared}/arledger")) - before if n.startswith("headers-"))
+    assert sorted(os.listdir(f"{shared}/arledger/{store}")) == ["in", "out"]
+    names = [n for _, _, found in os.walk(f"{shared}/arledger/{store}/in") for n in found if n.startswith("part-")]
+    assert names and all(n.endswith(".csv.bz2") for n in names)
+    with pytest.raises(ValueError):
+        files.discard(spark, str(tmp_path))
